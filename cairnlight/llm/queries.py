@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm import decontam, packing, quality, sharding
+from cairnlight.llm import decontam, langid, packing, quality, sharding, urlfilter
 from cairnlight.llm.common import table
 
 
@@ -29,11 +29,33 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed values of the URL query: action, then host and start of the path.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("host_words", " ").alias("host_words"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()), "text", "lang")
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -72,7 +94,9 @@ FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op2_url_filters": op2_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
