@@ -121,23 +121,26 @@ def buckets_of(host_words, path: str) -> list[int]:
 
 
 def fit(urls: DataFrame) -> np.ndarray:
-    """Weights of block against allow from all rows with a rule's verdict; the last entry is the prior's."""
+    """Weights of block against allow from all rows with a rule's verdict.
+
+    Both classes weigh the same: how many URLs the rules happen to decide each way says nothing about the others.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS + 1), np.int64)
+        sums = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             for words, path, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = sums[VERDICTS.index(verdict)]
-                np.add.at(own, [*buckets_of(words, path), BUCKETS], 1)
+                np.add.at(own, buckets_of(words, path), 1)
         at = np.flatnonzero(sums.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["b", "a", "k"])
 
     parts = urls.where("verdict is not null").select("host_words", "path", "verdict").mapInArrow(count, "b int, a long, k long")
-    sums = np.zeros((2, BUCKETS + 1))
+    sums = np.zeros((2, BUCKETS))
     for r in parts.groupBy("b").agg(F.sum("a").alias("a"), F.sum("k").alias("k")).toArrow().to_pylist():
         sums[:, r["b"]] = r["a"], r["k"]
     p = sums + PRIOR
-    p[:, :BUCKETS] /= p[:, :BUCKETS].sum(axis=1, keepdims=True)
+    p /= p.sum(axis=1, keepdims=True)
     return np.log(p[1]) - np.log(p[0])
 
 
@@ -171,7 +174,7 @@ def judge_urls(
     def odds(host_words: pd.Series, path: pd.Series) -> pd.Series:
         w = weights.value
         found = (buckets_of(h, p) for h, p in zip(host_words, path, strict=True))
-        return pd.Series([float(w[b].sum() + w[BUCKETS]) if b else 0.0 for b in found])
+        return pd.Series([float(w[b].sum()) if b else 0.0 for b in found])
 
     out = ready.withColumn("log_odds", odds("host_words", "path"))
     said = F.coalesce(F.col("verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
