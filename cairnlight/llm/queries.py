@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm import decontam, langid, packing, quality, sharding, urlfilter
+from cairnlight.llm import decontam, langid, packing, quality, secretscan, sharding, urlfilter
 from cairnlight.llm.common import table
 
 
@@ -65,6 +65,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secretscan.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    base = secretscan.spans_text(F.col("found"), ("assign", "access", "hex"))
+    return out.select(
+        "doc_id",
+        *(secretscan.count_kind(F.col("found"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(base, 256).alias("base_sha256"),
+        secretscan.spans_text(F.col("found")).alias("spans"),
+    )
+
+
 _OP6_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -99,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_secret_scans": op8_secret_scans,
 }
 
 ORACLES: dict[str, str] = {"op6_benchmark_decontamination": _OP6_SQL}
