@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm import decontam, langid, packing, quality, secretscan, sharding, urlfilter
+from cairnlight.llm import decontam, langid, licenses, packing, quality, secretscan, sharding, urlfilter
 from cairnlight.llm.common import table
 
 
@@ -76,6 +76,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), path)
+
+
 _OP6_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op10_license_scans": op10_license_scans,
 }
 
 ORACLES: dict[str, str] = {"op6_benchmark_decontamination": _OP6_SQL}
