@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm import decontam, langid, licenses, packing, quality, secretscan, sharding, urlfilter
+from cairnlight.llm import decontam, langid, licenses, neardup, packing, quality, secretscan, sharding, urlfilter
 from cairnlight.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("host_words", " ").alias("host_words"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -111,6 +115,7 @@ FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_url_filters": op2_url_filters,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
