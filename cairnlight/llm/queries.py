@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm import decontam, langid, licenses, neardup, packing, quality, secretscan, sharding, urlfilter
+from cairnlight.llm import decontam, fuzzydup, langid, licenses, neardup, packing, quality, secretscan, sharding, urlfilter
 from cairnlight.llm.common import table
 
 
@@ -80,6 +80,10 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzydup.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
     return licenses.scan(table(spark, sf_dir, "documents"), path)
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scans": op10_license_scans,
 }
 
