@@ -98,7 +98,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def _scan(df: DataFrame, items: list, window: int, more: bool) -> DataFrame:
+def _scan(df: DataFrame, items: list, window: int, more: bool, carry: list[str]) -> DataFrame:
     """One pass over the documents for one block of items; ``more`` keeps the text for the next pass."""
     shared = df.sparkSession.sparkContext.broadcast(items)
     key = shared.id if hasattr(shared, "id") else id(shared)
@@ -109,19 +109,20 @@ def _scan(df: DataFrame, items: list, window: int, more: bool) -> DataFrame:
             _built[key] = build_searches(shared.value, window)
         searches, ids_of = _built[key]
 
-        def per_row(doc_id, text, spans, ids):
+        def per_row(doc_id, text, spans, ids, *rest):
             words = words_of(text)
             found = [(s, n, x.length) for x in searches for s, n in x.find(words)]
             if found:
                 ids = sorted(set(ids).union(*(ids_of[n] for _, n, _ in found)))
                 spans = merge_spans([(s, s + size) for s, _, size in found] + [*zip(spans[::2], spans[1::2], strict=True)])
             kept = text.decode() if more and text is not None else None
-            return doc_id, kept, len(words), spans, ids, sum(spans[1::2]) - sum(spans[::2]), sha_of_ids(ids)
+            return doc_id, kept, len(words), spans, ids, sum(spans[1::2]) - sum(spans[::2]), sha_of_ids(ids), *rest
 
         return per_row
 
     schema = f"id {id_type(df, 'id')}, text string, n_words long, spans array<int>, ids array<string>, n_hit long, sha string"
-    return map_rows(df.select("id", "text", "spans", "ids"), per_task, schema, binary=["text"])
+    schema += "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    return map_rows(df.select("id", "text", "spans", "ids", *(F.col(f"`{c}`") for c in carry)), per_task, schema, binary=["text"])
 
 
 def decontaminate(
@@ -133,12 +134,13 @@ def decontaminate(
     item_text: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, item_ids, and hit spans in words.
 
     A null or empty text has no words and hits nothing, an empty benchmark marks nothing. Items with equal ids count
-    once; windows of an item whose id is null mark words but add no id. Every input row gives one row; other columns
-    are left out. The benchmark is taken in blocks of about ``block_bytes``, so that a search table has a bounded size
+    once; windows of an item whose id is null mark words but add no id. Every input row gives one row; of its other
+    columns only those in ``carry`` are kept, named ``carry_`` and their own name. The benchmark is taken in blocks of about ``block_bytes``, so that a search table has a bounded size
     whatever the size of the benchmark.
     """
     sized = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t is not null")
@@ -149,11 +151,13 @@ def decontaminate(
         F.col(text_col).alias("text"),
         F.array().cast("array<int>").alias("spans"),
         F.array().cast("array<string>").alias("ids"),
+        *(F.col(c).alias(f"carry_{c}") for c in carry),
     )
+    carried = [f"carry_{c}" for c in carry]
     before = None
     for b in range(blocks):
         part = sized.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else sized
-        out = _scan(out, [(r["i"], r["t"].encode()) for r in part.collect()], window, more=b + 1 < blocks)
+        out = _scan(out, [(r["i"], r["t"].encode()) for r in part.collect()], window, more=b + 1 < blocks, carry=carried)
         if b + 1 < blocks:
             out = materialize(out)
             if before is not None:
@@ -168,6 +172,7 @@ def decontaminate(
         (F.col("n_hit") > 0).alias("contaminated"),
         F.col("ids").alias("item_ids"),
         F.col("spans").alias("hit_spans"),
+        *(F.col(f"`{c}`") for c in carried),
     )
 
 

@@ -146,10 +146,11 @@ def judge(
     threshold: float = THRESHOLD,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: base figures, ``base_failed``, the ratio ``score``, ``kept`` and the columns ``carry``.
+    """One row per document: base figures, ``base_failed``, the ratio ``score``, ``kept``, and the columns ``carry``.
 
     A null or blank text has no words, fails the base rule and scores 0. Rows are judged one by one, so repeated rows
-    and ties get equal verdicts; null ids are judged like others but never join the target.
+    and ties get equal verdicts; null ids are judged like others but never join the target. Carried columns are named ``carry_`` and their
+    own name, so they can't clash with the others.
     """
     table = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
@@ -167,7 +168,6 @@ def judge(
         return per_row
 
     schema = f"`{id_col}` {id_type(docs, id_col)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), *(F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)))
-    schema += "".join(f", carry{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
-    out = map_rows(cols, per_task, schema, binary=["body"])
-    return out.withColumnsRenamed({f"carry{i}": c for i, c in enumerate(carry)})
+    cols = docs.select(F.col(id_col), F.col(text_col).alias("body"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    schema += "".join(f", `carry_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return map_rows(cols, per_task, schema, binary=["body"])

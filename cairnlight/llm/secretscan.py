@@ -215,3 +215,13 @@ def redact(text: Column, found: Column, mask: str = MASK) -> Column:
 
     done = F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     return F.when(F.size(found) > 0, done).otherwise(text)
+
+
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with all spans of the scan masked; ``n_chars``, if there, follows. Null texts stay null."""
+    found = scan(docs, text_col)
+    new = redact(F.col(text_col), F.col("found"))
+    out = found.withColumn(text_col, F.when(F.col(text_col).isNotNull(), new))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
