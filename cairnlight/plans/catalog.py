@@ -1,14 +1,14 @@
-"""Registry of the engine's queries and their SQL."""
+"""All queries of the engine and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from cairnlight.plans import retrieval  # noqa: F401
+from cairnlight.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["retrieval"](spark, sf_dir)
+    return retrieval.flagship(spark, sf_dir)
