@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +64,36 @@ def similarity_at_least(a: Sequence, b: Sequence, least: float) -> float | None:
     return None if distance is None else 1 - distance / longer
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for all nodes of ``edges`` (u, v): the smallest node that it is connected with.
+#: Most edges whose components one task finds; more go through rounds of joins.
+TASK_EDGES = 200_000
 
-    Each round takes the smallest label among the neighbours, then the label of that label, until nothing changes; the
-    rounds grow with the logarithm of the longest path. Every round is written to the shared folder.
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([root(x) for x in nodes], pa.binary())], names=["node", "comp"])
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node, comp) for all nodes of a written table of ``edges`` (u, v): the smallest node that it is connected with.
+
+    Up to ``task_edges`` edges are united in one task. More take rounds: each node takes the smallest label among its
+    neighbours, then the label of that label, until nothing changes; the rounds grow with the logarithm of the longest
+    path. Every round is written to the shared folder.
     """
+    if edges.count() <= task_edges:
+        return materialize(edges.select("u", "v").coalesce(1).mapInArrow(_union, "node binary, comp binary"))
     both = materialize(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")))
     while True:
