@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go when the driver's JVM ends. The step's shuffle files are of no use any more; the driver deletes them
+    when it collects its garbage, so it is told to, to keep the peak of disk low.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairnlight-{uuid.uuid4().hex}"
@@ -40,6 +41,7 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
