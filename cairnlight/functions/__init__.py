@@ -1 +1 @@
-""""""
+"""Functions of the engine."""
