@@ -176,7 +176,7 @@ def sc29(spark, sf_dir):
     return y.select("target", F.array_join(X.rolling_years(F.col("target"), 4, 1).cast("array<string>"), ",").alias("years"))
 
 
-@query("SC34_first_seen", "SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY place) AS ids FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber * 1000000 + l_partkey) AS place FROM lineitem GROUP BY ALL) GROUP BY ALL")
+@query("SC34_first_seen", "SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY place, l_suppkey) AS ids FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber * 1000000 + l_partkey) AS place FROM lineitem GROUP BY ALL) GROUP BY ALL")
 def sc34(spark, sf_dir):
     """Suppliers of an order in order of first appearance."""
     rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("a"))

@@ -139,3 +139,17 @@ def test_live_stream(spark, tmp_path):
     assert spark.table("firsts").count() == 2
     top = live.sliding_summary(rows.dropDuplicates()).orderBy(F.desc("n")).first()
     assert top["n"] == 2 and top["errors"] == 1
+
+
+def test_folds():
+    from cairnlight.functions import folds
+
+    assert [p[2] for p in folds.paragraphs("# Head\n\none two\nthree\n\n---\n\nfour")] == ["one two\nthree", "four"]
+    text = "a\n\n b c \n\nd"
+    assert all(text[s:e] == t for s, e, t in folds.paragraphs(text))
+    assert folds.batches([5, 5, 5, 20, 1], 2, 12) == [0, 0, 1, 2, 3]
+    assert folds.evidence_blocks("A x B y A", ["A", "B", "A", "Z"]) == [0, 4, 8, -1]
+    assert folds.patched(["a", "b", "c", "d"], [([3, 1], ["m"])], ["z"]) == ["a", "m", "c", "z"]
+    assert folds.water_fill({"a": 5, "b": 1, "c": 4}, {"a": 9, "b": 2, "c": 9}, 4) == {"a": 1, "b": 2, "c": 1}
+    out = folds.chunks(["word " * 30, "word " * 30, "word " * 20], 40, 250)
+    assert [k for _, k in out] == [False, True]
