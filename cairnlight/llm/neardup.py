@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from cairnlight.llm.common import id_type, map_rows, materialize
 
 #: Words in a shingle, sketches of a text, shingles in a sketch.
 SHINGLE, SKETCHES, TAKEN = 5, 24, 3
-#: Largest bucket whose components are compared in full, and how often a larger one is divided by a further sketch.
-CROWD, FURTHER = 32, 3
+#: Largest bucket whose pairs are rows; a larger one is dealt out in blocks of about ``BLOCK`` texts.
+CROWD, BLOCK = 32, 128
+#: Counters of a text's bag of hashed words.
+BAG = 256
 #: Least similarity: 1 - word edit distance / words of the longer text.
 LEAST = 0.8
 
@@ -103,10 +106,10 @@ def near_duplicates(
     by their smallest id. ``representative`` is the smallest id with the same text, ``n_copies`` the number of rows
     that have it, and ``keep`` is true for one row of each class.
 
-    All members of a bucket are compared with its smallest node. Where more than one component is left, the others
-    are compared across components if they are at most ``CROWD``; more are dealt out anew by their next sketch, up to
-    ``FURTHER`` times, and compared in the same way. So a passage that many texts share never pairs all of them, and no
-    row is dropped: texts in a crowded bucket are candidates if they share the next sketch too. A null text is a class of its own; empty texts are copies of each other; null ids come after all others.
+    All members of a bucket are compared with its smallest node. Where more than one component is left, every pair of
+    members of different components is compared too: as rows in a bucket of at most ``CROWD``, in blocks in a larger
+    one (``_crowded``). No candidate is dropped.
+    A null text is a class of its own; empty texts are copies of each other; null ids come after all others.
     """
     rows = tagged(docs, id_col, text_col)
 
@@ -146,24 +149,17 @@ def near_duplicates(
     rest = _apart(voted.join(best, ["u", "v"], "left_anti").select("u", "v"), comp)
     edges, comp = _grown(edges, comp, verified(rest, texts, least))
     left = shared.where(F.col("node") != F.col("top")).select("bucket", "sketch", "node", "n")
-    for level in range(FURTHER + 1):
-        own = left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = own.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), F.min(F.struct("node", "n", "comp")).alias("t"))
-        left = materialize(own.join(mixed.where("a <> b").select("bucket", "size", "t"), "bucket"))
-        if left.isEmpty():
-            break
-        few = left.where(F.col("size") <= CROWD).select("bucket", "node", "n", "comp")
-        others = few.select("bucket", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"))
-        pairs = few.join(others, "bucket").where((F.col("node") > F.col("v")) & (F.col("comp") != F.col("vc")) & alike("n", "vn"))
-        pairs = pairs.select(F.col("node").alias("u"), "v")
-        many = left.where(F.col("size") > CROWD)
-        if level:
-            star = many.where((F.col("node") > F.col("t.node")) & (F.col("comp") != F.col("t.comp")) & alike("n", "t.n"))
-            pairs = pairs.unionByName(star.select(F.col("node").alias("u"), F.col("t.node").alias("v")))
-        edges, comp = _grown(edges, comp, verified(pairs.distinct(), texts, least))
-        further = F.element_at("keys", ((F.col("sketch") + level + 1) % sketches + 1).cast("int"))
-        many = many.select("bucket", "sketch", "node", "n").join(nodes.select("node", "keys"), "node")
-        left = many.select(F.xxhash64("bucket", F.lit(level), further).alias("bucket"), "sketch", "node", "n")
+    own = left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = own.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"))
+    left = materialize(own.join(mixed.where("a <> b").select("bucket", "size"), "bucket"))
+    few = left.where(F.col("size") <= CROWD).select("bucket", "node", "n", "comp")
+    others = few.select("bucket", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("comp").alias("vc"))
+    pairs = few.join(others, "bucket").where((F.col("node") > F.col("v")) & (F.col("comp") != F.col("vc")) & alike("n", "vn"))
+    pairs = pairs.select(F.col("node").alias("u"), "v")
+    edges, comp = _grown(edges, comp, verified(pairs.distinct(), texts, least))
+    many = left.where(F.col("size") > CROWD).select("bucket", "sketch", "node", "n")
+    if not many.isEmpty():
+        edges, comp = _grown(edges, comp, _crowded(many, comp, nodes.select("node", "keys"), texts, least))
 
     named = materialize(nodes.join(comp, "node", "left").select("node", "first", "n_copies", F.coalesce("comp", "node").alias("comp")))
     classes = named.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n_copies").alias("class_size"))
@@ -185,6 +181,101 @@ def near_duplicates(
     return out.unionByName(alone).withColumnRenamed("id", id_col)
 
 
+def word_bag(words: list[bytes]) -> bytes:
+    """Counts of the hashed words, up to 65,535 each. An edit moves two bags apart by at most one on either side."""
+    h = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BAG
+    return np.minimum(np.bincount(h, minlength=BAG), 65_535).astype("<u2").tobytes()
+
+
+def _crowded(many: DataFrame, comp: DataFrame, keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) that join the components of crowded buckets; ``many`` has (bucket, sketch, node, n).
+
+    Members outside a bucket's largest component are dealt into blocks, and so are those inside; each of the former
+    blocks meets all blocks. A pair is left to the first sketch that its texts share, and is aligned unless it is
+    in one component already or the word bags alone rule it out, so the result is that of all pairs. Rows grow with
+    the square of a group over ``BLOCK``, and a pair of blocks gives fewer edges than it has texts.
+    """
+    own = many.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = own.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"))
+    sizes = sizes.where(F.col("size") > F.col("main.k")).select(
+        "bucket",
+        F.col("main.comp").alias("main"),
+        F.ceil((F.col("size") - F.col("main.k")) / BLOCK).cast("int").alias("outer"),
+        F.ceil(F.col("main.k") / BLOCK).cast("int").alias("inner"),
+    )
+    inside = F.col("comp") == F.col("main")
+    salt = F.xxhash64("node", F.lit(1))
+    own = own.join(sizes, "bucket").withColumn("own", F.when(inside, F.col("outer") + F.pmod(salt, "inner")).otherwise(F.pmod(salt, "outer")).cast("int"))
+    last = F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "bucket", "sketch", "node", "n", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+
+    def bag_task():
+        return lambda node, text: (node, word_bag(text.split()))
+
+    marked = texts.join(own.select("node").distinct(), "node")
+    bags = materialize(map_rows(marked, bag_task, "node binary, bag binary", binary=["text"]).join(keys, "node"))
+
+    def candidates(group: pa.Table) -> pa.Table:
+        node, home = group["node"].to_pylist(), np.array(group["own"])
+        n, sketch = np.array(group["n"], np.int64), group["sketch"][0].as_py()
+        names = {c: k for k, c in enumerate(dict.fromkeys(group["comp"].to_pylist()))}
+        of = np.array([names[c] for c in group["comp"].to_pylist()])
+        bag = np.frombuffer(b"".join(group["bag"].to_pylist()), "<u2").reshape(len(node), BAG).astype(np.int32)
+        key = np.array(group["keys"].to_pylist(), np.int64)
+        lower, upper = group["i"][0].as_py(), group["j"][0].as_py()
+        right, found = np.flatnonzero(home == upper), []
+        for u in np.flatnonzero(home == lower):
+            v = right[right > u] if lower == upper else right
+            v = v[(of[v] != of[u]) & (np.minimum(n[v], n[u]) >= np.maximum(n[v], n[u]) * least - 1e-9)]
+            v = v[~(key[v, :sketch] == key[u, :sketch]).any(axis=1)]
+            apart = bag[v] - bag[u]
+            edits = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+            fits = edits <= (np.maximum(n[v], n[u]) * (1 - least) + 1e-9).astype(np.int64)
+            found += zip(edits[fits].tolist(), [int(u)] * int(fits.sum()), v[fits].tolist(), strict=True)
+        # The nearest first: each that aligns spares the pairs that it makes one component.
+        found.sort()
+        used = sorted({x for _, u, v in found for x in (u, v)})
+        place = {x: k for k, x in enumerate(used)}
+        flat = [place[x] for _, u, v in found for x in (u, v)]
+        members = [{"node": node[x], "comp": int(of[x])} for x in used]
+        return pa.Table.from_pydict({"members": [members] if used else [], "pairs": [flat] if used else []}, schema=_CANDIDATES)
+
+    close = dealt.join(bags, "node").groupBy("bucket", "i", "j").applyInArrow(candidates, "members array<struct<node:binary,comp:int>>, pairs array<int>")
+    close = materialize(close.withColumn("task", F.monotonically_increasing_id()))
+    placed = close.select("task", F.posexplode("members").alias("place", "m")).select("task", "place", "m.node", "m.comp").join(texts, "node")
+    lists = close.select("task", F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("node"), F.lit(None).cast("int").alias("comp"), F.lit(None).cast("string").alias("text"), "pairs")
+
+    def align(group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["place", "node", "comp", "text", "pairs"]).to_pylist(), key=lambda r: r["place"])
+        flat, rows = rows[0]["pairs"], rows[1:]
+        words = [r["text"].encode().split() for r in rows]
+        parent = {r["comp"]: r["comp"] for r in rows}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out = {"u": [], "v": []}
+        for u, v in zip(flat[::2], flat[1::2], strict=True):
+            a, b = root(rows[u]["comp"]), root(rows[v]["comp"])
+            if a != b and similarity_at_least(words[u], words[v], least) is not None:
+                parent[a] = b
+                out["u"].append(rows[u]["node"])
+                out["v"].append(rows[v]["node"])
+        return pa.Table.from_pydict(out, schema=_EDGES)
+
+    both = placed.withColumn("pairs", F.lit(None).cast("array<int>")).select("task", "place", "node", "comp", "text", "pairs").unionByName(lists)
+    return both.groupBy("task").applyInArrow(align, "u binary, v binary")
+
+
+_CANDIDATES = pa.schema([("members", pa.list_(pa.struct([("node", pa.binary()), ("comp", pa.int32())]))), ("pairs", pa.list_(pa.int32()))])
+_EDGES = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+
 def _grown(edges: DataFrame, comp: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges and components with the pairs ``found`` added."""
     more = materialize(found.select("u", "v"))

@@ -187,6 +187,23 @@ def test_op3_crowded_buckets(spark):
     assert set(got.class_id[got.index >= 1000]) == {1000}
 
 
+@pytest.mark.parametrize(("least", "shared", "own", "kept"), [(0.95, 94, 6, 1), (0.8, 78, 22, 5)])
+def test_op3_crowded_bucket_is_exact(spark, least, shared, own, kept):
+    """One passage in all texts, just short of near copies; of each two that share a few more words none is lost."""
+    rnd = random.Random(7)
+    new = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    passage, words = new(shared), []
+    for _ in range(150):
+        a = new(own)
+        words += [passage + a, passage + [x if k % (own // kept) == 1 and k // (own // kept) < kept else y for k, (x, y) in enumerate(zip(a, new(own), strict=True))]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), least=least).toPandas().set_index("doc_id")
+    linked = [(i, j) for i in range(300) for j in range(i) if align.similarity_at_least(words[i], words[j], least) is not None]
+    assert linked == [(2 * i + 1, 2 * i) for i in range(150)]
+    assert [i for i, j in linked if got.class_id[i] != got.class_id[j]] == []
+    assert got.class_id.nunique() == 150
+
+
 def test_op3_edges(spark, edge):
     got = neardup.near_duplicates(edge).toPandas()
     assert len(got) == len(EDGE) and got.keep.sum() == 6
