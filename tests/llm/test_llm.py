@@ -450,6 +450,25 @@ def test_op9_fuzzy_and_edges(spark, edge):
     assert fuzzydup.fuzzy_passages(edge).count() == 0 and fuzzydup.fuzzy_passages(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 84, 90, 95])
+def test_op9_recall_by_identity(spark, percent):
+    """Passages of 60 words with words changed at random places, planted in texts that share nothing else."""
+    rnd = random.Random(percent)
+    new = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        p = new(60)
+        q = list(p)
+        for k in rnd.sample(range(1, 59), 60 * (100 - percent) // 100):
+            q[k] = f"c{rnd.randrange(10**7)}"
+        assert align.similarity_at_least(p, q, 0.8) is not None
+        rows += [(2 * i, " ".join(new(30) + p + new(30))), (2 * i + 1, " ".join(new(20) + q + new(40)))]
+    got = fuzzydup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    pairs = {tuple(sorted(x)) for x in zip(got.doc_id, got.other_id, strict=True)}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in pairs)
+    assert len(pairs) >= 57, f"{len(pairs)} of 60"
+
+
 # 10
 
 
