@@ -421,12 +421,24 @@ def sm2(spark, sf_dir):
 SELECT lang, min(doc_id) AS representative, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS occurrences FROM u GROUP BY lang, norm""",
 )
 def dd1(spark, sf_dir):
-    """Units of equal normalised text, over rows of plain ASCII; the key is a digest, not the text."""
+    """Units of equal normalised text, over rows of plain ASCII as the SQL has them; ``DD1_all_units`` has all rows."""
     d = docs(spark, sf_dir).where(~F.col("text").rlike(ASCII)).withColumn("k", F.sha2(F.lower(X.clean_text(F.col("text"))), 256))
     u = d.groupBy("lang", "k").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("o"))
     return u.select("lang", "representative", "n", F.array_join(F.col("o").cast("array<string>"), ",").alias("occurrences"))
 
 
+@query("DD1_all_units")
+def dd1_all(spark, sf_dir):
+    """Units of equal normalised text over all documents: NFKC and case folding, which SQL cannot say; null is no unit."""
+    return exact_units(docs(spark, sf_dir).where("text is not null"))
+
+
+def exact_units(d: DataFrame) -> DataFrame:
+    d = d.withColumn("k", F.sha2(X.normalize_claim("text"), 256))
+    u = d.groupBy("lang", "k").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("o"))
+    return u.select("lang", "representative", "n", F.array_join(F.col("o").cast("array<string>"), ",").alias("occurrences"))
+
+
 @query("TK6_TK7_representative", "SELECT l_orderkey, arg_max(l_partkey, l_quantity * 1000000 - l_partkey) AS part FROM lineitem GROUP BY ALL")
 def tk7(spark, sf_dir):
     """The largest line of an order, the smallest part on ties."""

@@ -97,6 +97,19 @@ def test_unicode_text(spark):
     assert [r[0] for r in df.select(X.clean_text(F.col("t"))).collect()] == ["Straße ﬁn", "A B", "", ""]
 
 
+def test_exact_units(spark):
+    """Accents, case folding and compatibility forms count as Python has them; no row is left out."""
+    from cairnlight.plans import corpus
+
+    rows = [(1, "de", "Straße  ﬁn"), (2, "de", "STRASSE fin"), (3, "fr", "Été"), (4, "fr", "e\u0301te\u0301"), (5, "en", "\u201cx\u201d y"), (6, "en", "a b"), (7, "de", "a b")]
+    want = {}
+    for i, lang, t in rows:
+        want.setdefault((lang, " ".join(unicodedata.normalize("NFKC", t).casefold().split())), []).append(i)
+    got = corpus.exact_units(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    assert sorted((r["lang"], r["representative"], r["n"], r["occurrences"]) for r in got) == sorted((k[0], v[0], len(v), ",".join(map(str, v))) for k, v in want.items())
+    assert len(got) == 5
+
+
 def test_pack_sentences():
     assert X.pack_sentences("One two. Three four. Five six.", 4) == ["One two. Three four.", "Five six."]
     assert [len(c.split()) for c in X.pack_sentences(" ".join(["w"] * 20), 8)] == [8, 8, 4]
