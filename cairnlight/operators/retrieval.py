@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,42 @@ def rank_dense(pool: DataFrame, queries: DataFrame, key: str, top_n: int, id_col
     return ranked(pairs.select("query_id", key, id_col, "score"), ["query_id", key], "score", id_col, top_n)
 
 
+#: Query vectors and pool vectors that one task multiplies at a time.
+QUERY_BLOCK, POOL_BLOCK = 256, 2048
+
+
+def rank_dense_all(pool: DataFrame, queries: DataFrame, top_n: int) -> DataFrame:
+    """Top vectors of each query among all of ``pool`` by dot product; ``queries`` has (query_id, query_vector).
+
+    Blocks of queries meet blocks of vectors, each pair is one matrix product, and only each block's first ``top_n``
+    of a query are rows.
+    """
+    q = _blocks(queries, F.col("query_id"), F.col("query_vector"), QUERY_BLOCK).select(F.col("ids").alias("q"), F.col("vectors").alias("qv"))
+    p = _blocks(pool, F.col("id"), F.col("vector"), POOL_BLOCK)
+    id_type = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q_ids, q_v, ids, v = (batch.column(i)[row].as_py() for i in range(4))
+                scores = np.round(np.array(q_v, np.float64) @ np.array(v, np.float64).T, 6) + 0.0
+                ids = np.array(ids, object)
+                place = np.argsort(np.argsort(ids))
+                best = [np.lexsort((place, -s))[:top_n] for s in scores]
+                out = [np.repeat(q_ids, [len(b) for b in best]), np.concatenate([ids[b] for b in best]), np.concatenate([s[b] for s, b in zip(scores, best, strict=True)])]
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist()) for x in out], names=["query_id", "id", "score"])
+
+    pairs = q.crossJoin(p).mapInArrow(run, f"query_id {id_type}, id string, score double")
+    return ranked(pairs, ["query_id"], "score", "id", top_n)
+
+
+def _blocks(df: DataFrame, id_: Column, vector: Column, size: int) -> DataFrame:
+    """(ids, vectors) of blocks of about ``size`` rows."""
+    n = -(-df.count() // size) or 1
+    b = df.groupBy(F.pmod(F.xxhash64(id_), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(id_.alias("i"), vector.alias("v"))).alias("m"))
+    return b.select(F.col("m.i").alias("ids"), F.col("m.v").alias("vectors"))
+
+
 def rrf_fuse(lists: dict[str, DataFrame], keys: list[str], id_col: str = "evidence_id", k: int = RRF_K) -> DataFrame:
     """Sum of 1 / (k + rank) over named lists, each list's rank kept; ranked anew by (score desc, id)."""
     parts = [d.select(*keys, id_col, F.lit(name).alias("list"), "rank") for name, d in lists.items()]

@@ -183,6 +183,19 @@ def rt4(spark, sf_dir):
     return R.rank_dense(pool, q, "label", 20, "id")
 
 
+@query(
+    "RT4_dense_rank_all",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, 'v' || vec_id AS id,
+ round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), lambda x: x[1] * x[2])), 6) AS score FROM embeddings, q)
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20""",
+)
+def rt4_all(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all vectors of all labels."""
+    e = read(spark, sf_dir, "embeddings")
+    pool = e.select(F.concat(F.lit("v"), F.col("vec_id")).alias("id"), F.col("embedding").alias("vector"))
+    return R.rank_dense_all(pool, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), 20)
+
+
 @query(
     "RT13_norm_summary",
     """SELECT count(*) AS n, round(min(norm), 5) AS lowest, round(max(norm), 5) AS highest, round(avg(norm), 5) AS mean

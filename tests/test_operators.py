@@ -110,6 +110,22 @@ def test_exact_units(spark):
     assert len(got) == 5
 
 
+def test_rank_dense_all(spark, monkeypatch):
+    """Many blocks on either side, ties by id, against a plain sort."""
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(R, "POOL_BLOCK", 7)
+    rnd = random.Random(2)
+    v = [[float(rnd.randrange(-3, 4)) for _ in range(5)] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(v)), "n long, vector array<float>")
+    pool = df.select(F.concat(F.lit("v"), "n").alias("id"), "vector")
+    got = R.rank_dense_all(pool, df.where("n % 3 = 0").select(F.col("n").alias("query_id"), F.col("vector").alias("query_vector")), 6).collect()
+    want = []
+    for q in range(0, 60, 3):
+        best = sorted((-sum(x * y for x, y in zip(v[q], w, strict=True)), f"v{i}") for i, w in enumerate(v))[:6]
+        want += [(q, i, -s, k) for k, (s, i) in enumerate(best, 1)]
+    assert sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in got) == sorted(want)
+
+
 def test_pack_sentences():
     assert X.pack_sentences("One two. Three four. Five six.", 4) == ["One two. Three four.", "Five six."]
     assert [len(c.split()) for c in X.pack_sentences(" ".join(["w"] * 20), 8)] == [8, 8, 4]
