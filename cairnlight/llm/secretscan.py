@@ -20,6 +20,8 @@ PATTERNS = {
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: What the battery tests: runs of 16 or more characters of the usual encodings, with padding.
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: Pieces of a candidate that are tested besides the whole: between the separators that an encoding cannot have.
+PIECES = [CANDIDATE, r"[A-Za-z0-9_-]{16,}={0,2}", r"[A-Za-z0-9+/]{16,}={0,2}", r"[A-Za-z0-9]{16,}={0,2}"]
 #: Encoding, pattern, alphabet in code order, and the sum of squared letter shares of words written in it.
 ENCODINGS = [
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef", 0.2),
@@ -155,11 +157,26 @@ def cutoffs(tested: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
     return out
 
 
+def pieces(m: Column, base: Column) -> Column:
+    """Spans to test in a candidate: what ``PIECES`` find in it where no base span is."""
+    size = F.length(m["token"])
+
+    def blank(t: Column, b: Column) -> Column:
+        s, e = F.greatest(b["start"] - m["start"], F.lit(0)), F.least(b["end"] - m["start"], size)
+        return F.concat(F.substring(t, F.lit(1), s), F.repeat(F.lit(" "), e - s), F.substring(t, e + 1, size))
+
+    inside = F.filter(base, lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))
+    bare = F.aggregate(inside, m["token"], blank)
+    found = F.array_distinct(F.concat(*(match_spans(bare, p, "random") for p in PIECES)))
+    return F.transform(found, lambda x: F.struct((x["start"] + m["start"]).alias("start"), (x["end"] + m["start"]).alias("end"), x["token"].alias("token")))
+
+
 def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, false_share: float = FALSE_SHARE) -> DataFrame:
     """Each row's columns ``carry`` with ``found``: array<struct<start, end, rank>> in code points, end exclusive.
 
-    Base kinds come from patterns. A candidate that overlaps none of them is reported as ``random`` if the battery does
-    not reject randomness and its ``p_word`` is below its length class's cutoff. Null and empty texts have no spans.
+    Base kinds come from patterns. A candidate's pieces outside them, the whole and those between separators, are each
+    reported as ``random`` if the battery does not reject randomness and ``p_word`` is below the length class's cutoff; a
+    piece inside another reported one is left out. Null and empty texts have no spans.
     Repeated rows are scanned one by one, yet all count as candidates of their class. Only rows with candidates are
     joined with the findings, by a row number that is written down first.
     """
@@ -171,8 +188,8 @@ def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None
         .withColumn("row", F.monotonically_increasing_id())
     )
     # Only now, when the spans are written: as one plan, the patterns would be matched anew for every candidate.
-    rows = rows.withColumn("more", F.filter("more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))))
-    tokens = rows.where(F.size("more") > 0).select("row", F.explode("more").alias("m")).select("row", "m.*")
+    whole = rows.where(F.size("more") > 0).select("row", "base", F.explode("more").alias("m"))
+    tokens = whole.select("row", F.explode(pieces(F.col("m"), F.col("base"))).alias("m")).select("row", "m.*")
     # Written before any filter on the figures, which would be pushed down and repeat their expressions.
     tested = materialize(battery(tokens).select("row", "start", "end", "stratum", "p_random", "p_word"))
     bins = F.least(F.floor(-F.log10("p_word") * _PER_DECADE), F.lit(_BINS)).cast("int")
@@ -183,6 +200,8 @@ def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None
         passes = passes | ((F.col("stratum") == s) & (F.col("bin") >= b))
     random = F.struct("start", "end", F.lit(KINDS.index("random")).alias("rank"))
     new = tested.where(passes).groupBy("row").agg(F.collect_list(random).alias("new"))
+    within = lambda x, y: (x != y) & (y["start"] <= x["start"]) & (x["end"] <= y["end"])
+    new = new.withColumn("new", F.filter("new", lambda x: ~F.exists("new", lambda y: within(x, y))))
     listed = F.array(*map(F.lit, KINDS))
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), (F.array_position(listed, b["kind"]) - 1).cast("int").alias("rank")))
     names = [F.col(f"carry{i}").alias(c) for i, c in enumerate(carry)]

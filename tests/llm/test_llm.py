@@ -394,6 +394,23 @@ def test_op8_method_and_redaction(spark):
     assert text[101] == ('token = "x" [SECRET] [SECRET]', 29) and text[102] == (None, None) and text[100][1] == 7
 
 
+def test_op8_pieces(spark):
+    """Keys in paths, beside base spans and around a hexadecimal run: the random part is found and masked."""
+    rnd = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    rows, keys = [], []
+    for i in range(30):
+        k = key(48)
+        text = [f"get api/v1/user-tokens/{k} now", f"AKIA{'Q7' * 8}/{k} end", f"x {k}+{'0123456789abcdef' * 2}+ y"][i % 3]
+        rows.append((i, text, 0))
+        keys.append(k)
+    out = {r["doc_id"]: r["text"] for r in secretscan.redacted(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    for kind in range(3):
+        assert sum(keys[i] not in out[i] for i in range(kind, 30, 3)) >= 9, kind
+    assert all("get api/v1/user-" in out[i] for i in range(0, 30, 3))
+
+
 def test_op8_edges(spark, edge):
     assert secretscan.scan(edge).count() == len(EDGE)
     assert secretscan.redacted(edge.limit(0)).columns == edge.columns
