@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from cairnlight.llm.common import materialize
 LEAST_COSINE = 0.6
 #: A text is a licence file if at least this share of its words stands in matching lines.
 FILE_SHARE = 0.5
+#: A template of over so many words is also compared with runs of lines of about its length.
+LONG_WORDS = 20
 #: File names that make a matching text a licence file.
 FILE_NAMES = r"(?i)^(un)?(licen[cs]e|copying|notice)([.-].*)?$"
 
@@ -97,6 +100,44 @@ class Weights:
                     self.must.add(w)
 
 
+def _reaching(known: Column, squares: Column, least: float) -> Callable[[Column], Column]:
+    def reaches(own: Column) -> Column:
+        return F.aggregate(F.array_intersect(own, known), F.lit(0.0), lambda a, w: a + F.element_at(squares, w)) >= least * least - 1e-9
+
+    return reaches
+
+
+def _runs_from(lines: Column, size: int) -> Callable[[Column], Column]:
+    def run(i: Column) -> Column:
+        # Each line has a word at least.
+        none = F.array().cast("array<string>")
+        return F.aggregate(F.slice(lines, i, F.lit(size)), none, lambda a, x: F.when(F.size(a) >= size, a).otherwise(F.concat(a, x)))
+
+    return run
+
+
+def blocks(text: Column, weights: Weights, least: float) -> Column:
+    """Runs of lines, as arrays of words, that can reach the least cosine with a long template.
+
+    From each line on, a run goes until it has as many words as the template. Both vectors are normalised, so a cosine
+    is at most the root of the sum of the template's squared weights over the words that a run has; only runs, and
+    before them whole texts, whose sum reaches the square of the least cosine are kept.
+    """
+    lines = F.filter(F.transform(F.split(F.lower(text), "\n"), words), lambda x: F.size(x) > 0)
+    out = F.array().cast("array<array<string>>")
+    for template in dict.fromkeys(t for _, t, _, _ in weights.rows):
+        size = len(words_py(template))
+        if size <= LONG_WORDS:
+            continue
+        squares = {w: v * v for _, t, w, v in weights.rows if t == template}
+        known, of = F.array(*map(F.lit, squares)), F.create_map(*(F.lit(x) for pair in squares.items() for x in pair))
+
+        reaches, run = _reaching(known, of, least), _runs_from(lines, size)
+        runs = F.filter(F.transform(F.sequence(F.lit(1), F.size(lines)), run), reaches)
+        out = F.concat(out, F.when(reaches(words(text)), runs).otherwise(F.array().cast("array<array<string>>")))
+    return F.array_distinct(out)
+
+
 def directory(path: Column) -> Column:
     """All before the last slash; empty without one."""
     return F.when(path.contains("/"), F.regexp_replace(path, "(?s)/[^/]*$", "")).otherwise("")
@@ -112,8 +153,8 @@ def scan(
 ) -> DataFrame:
     """Per file: id, path, ``license``, ``score``, ``origin`` (own, inherited or none) and ``from_dir``.
 
-    Word frequencies come from all texts. Every line and every whole text that can reach the least cosine is compared
-    with all templates; the best cosine wins, the first licence in alphabetical order on a tie. A file without an own
+    Word frequencies come from all texts. Every line, every run of lines as long as a long template (``blocks``) and every
+    whole text that can reach the least cosine is compared with all templates; the best cosine wins, the first licence in alphabetical order on a tie. A file without an own
     match takes the licence of the nearest directory above it that has a licence file (by name, or by the share of its
     words in matching lines; the best cosine wins among several). Null texts match nothing, a null path is the root,
     an empty table gives no rows, and repeated rows get one row each.
@@ -126,12 +167,14 @@ def scan(
 
     must = rf"(?<![a-z0-9])({'|'.join(sorted(weights.must))})(?![a-z0-9])"
     line = F.filter(F.split(F.lower(text), "\n"), lambda x: x.rlike(must))
-    units = F.when(F.lower(text).rlike(must), F.concat(F.array(text), line))
+    hit = F.lower(text).rlike(must)
+    units = F.when(hit, F.concat(F.transform(F.concat(F.array(text), line), words), blocks(text, weights, least)))
     rows = materialize(
         files.select(
             F.col(id_col).alias("id"),
             F.coalesce(path, F.lit("")).alias("path"),
-            F.transform(units, words).alias("units"),
+            units.alias("units"),
+            F.when(hit, F.size(line)).alias("lines"),
             F.monotonically_increasing_id().alias("row"),
         )
     )
@@ -165,8 +208,12 @@ def scan(
         .agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     )
     sizes = F.size(F.get("units", F.lit(0)))
-    own = best.groupBy("row").agg(
-        F.min("b").alias("b"), F.sum(F.when(F.col("unit") > 0, F.col("n_words"))).alias("in_lines"), F.min("unit").alias("first")
+    # Runs of lines overlap, so the longest one counts, not their sum.
+    single = (F.col("unit") > 0) & (F.col("unit") <= F.col("lines"))
+    own = best.join(rows.select("row", "lines"), "row").groupBy("row").agg(
+        F.min("b").alias("b"),
+        F.greatest(F.sum(F.when(single, F.col("n_words"))), F.max(F.when(F.col("unit") > F.col("lines"), F.col("n_words")))).alias("in_lines"),
+        F.min("unit").alias("first"),
     )
     matched = rows.where("units is not null").join(own, "row").withColumn("size", sizes)
     base = F.regexp_extract("path", r"(?s)([^/]*)$", 1)

@@ -503,6 +503,21 @@ def test_op10_inheritance(spark):
     assert got == {1: ("MIT", "own", "r"), 2: ("Apache-2.0", "inherited", "r/a"), 3: ("Apache-2.0", "own", "r/a"), 4: (None, "none", None), 5: ("CC-BY-NC", "own", "r"), 6: (None, "none", None)}
 
 
+def test_op10_wrapped_headers(spark):
+    """Each long template wrapped at 72 columns as a comment inside a long file; 'software' is common elsewhere."""
+    import textwrap
+
+    rnd = random.Random(3)
+    usual = "the of to and or in is a any for this with that it may by"
+    body = lambda n: [usual, *("".join(rnd.choice("abcdefgh") for _ in range(7)) + f" = {i}" for i in range(n))]
+    long = [(name, t) for name, t in licenses.TEMPLATES if len(licenses.words_py(t)) > 20]
+    rows = [(i, f"p{i}/x.py", "\n".join([*body(5), *(f"# {x}" for x in textwrap.wrap(t, 72)), *body(200)])) for i, (_, t) in enumerate(long)]
+    rows += [(100 + i, f"q{i}/x.py", "\n".join(body(30) + ["this software is good"] * (i % 10 == 0))) for i in range(300)]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert [got[i] for i in range(len(long))] == [(name, "own") for name, _ in long]
+    assert all(got[100 + i] == (None, "none") for i in range(300))
+
+
 # pipeline
 
 
