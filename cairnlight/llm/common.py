@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 _ROW_BITS = (1 << 33) - 1
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,23 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, one process (tests) takes a new
+    folder of its own, and a cluster raises, as its executors would not see such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairnlight-"))
         base = spark.sparkContext.getCheckpointDir()
     return base
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy", batch_bytes: int = 64_000_000) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the driver's JVM ends. The step's shuffle files are of no use any more; the driver deletes them
+    The files go when the driver's JVM ends. Arrow batches of the step hold ``batch_bytes`` at most. The step's shuffle files are of no use any more; the driver deletes them
     when it collects its garbage, so it is told to, to keep the peak of disk low.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairnlight-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(batch_bytes))
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(_BATCH, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
