@@ -16,6 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 _ROW_BITS = (1 << 33) - 1
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,21 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, compression: str = "snappy", batch_bytes: int = 64_000_000) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the driver's JVM ends. Arrow batches of the step hold ``batch_bytes`` at most. The step's shuffle files are of no use any more; the driver deletes them
-    when it collects its garbage, so it is told to, to keep the peak of disk low.
+    The files go when the driver's JVM ends. Shuffle files of the step are of no use once it is written, so Spark is
+    told to remove them then. Arrow batches of the step hold ``batch_bytes`` at most.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairnlight-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(batch_bytes))
+    own = {_BATCH: str(batch_bytes), _CLEANUP: "true"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path, compression=compression)
     finally:
-        spark.conf.set(_BATCH, before)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
