@@ -30,8 +30,8 @@ _ODD = re.compile(r" (?:\s|\Z)")
 class ChunkEncoder:
     """Byte-level BPE ids as packed unsigned 32-bit numbers, with a table of chunks between blanks.
 
-    The JSON file gives vocabulary and merges; the ids equal those that ``tokenizers`` gives for it with
-    ``encode_special_tokens`` set, so the strings of special tokens in a text are ordinary text.
+    The JSON file gives vocabulary, merges and added tokens; the ids equal those that ``tokenizers`` gives for it. The
+    string of an added token in a text is that token, and what stands between such strings is encoded by itself.
     """
 
     def __init__(self, path: str, chunks: int = CHUNKS):
@@ -39,12 +39,16 @@ class ChunkEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        if any(t[k] for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take blanks or whole words only are not supported")
+        self._added = {t: array("I", [n]).tobytes() for t, n in added.items()}
+        self._parts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # Byte-level vocabularies write each byte as a printable character: the printable Latin-1 bytes as
         # themselves, the others as the characters from U+0100 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in added}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self._encode = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
@@ -54,6 +58,11 @@ class ChunkEncoder:
         return array("I", self._encode(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self._parts is None or not self._parts.search(text):
+            return self._plain(text)
+        return b"".join(self._added.get(x) or self._plain(x) for x in self._parts.split(text) if x)
+
+    def _plain(self, text: str) -> bytes:
         chunks = _CUT.split(text) if _ODD.search(text) else text.split(" ")
         first, known = self._packed(chunks[0]), self._known
         rest = chunks[1:]
