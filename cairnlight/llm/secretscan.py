@@ -34,11 +34,13 @@ ENCODINGS = [
 ]
 #: A candidate is not random if the three tests together have a smaller p-value.
 BATTERY_LEVEL = 0.001
-#: Share of ordinary words that may be among the reported candidates of a length class.
+#: Share of ordinary words that may be among the reported candidates of a class of encoding and length.
 FALSE_SHARE = 0.05
 #: p-values are counted in eighths of a decade, down to 1e-20.
 _BINS, _PER_DECADE = 160, 8
 MASK = "[SECRET]"
+#: Matches that are appended one by one.
+_BLOCK = 128
 
 
 def match_spans(text: Column, pattern: str, kind: str) -> Column:
@@ -49,7 +51,8 @@ def match_spans(text: Column, pattern: str, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     row = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("token"))
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,token:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:string,token:string>>")
+    first = F.struct(F.lit(0).cast("int").alias("at"), none.alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["gap"])
@@ -57,8 +60,16 @@ def match_spans(text: Column, pattern: str, kind: str) -> Column:
         one = F.struct(s.alias("start"), e.alias("end"), F.lit(kind).alias("kind"), x["token"].alias("token"))
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,token:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(row, start, step, lambda a: a["out"])).otherwise(none)
+    # Appending copies, so a block of matches is built by itself, and only blocks are appended to the whole.
+    def block(a: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(row, i * _BLOCK + 1, F.lit(_BLOCK)), F.struct(a["at"].alias("at"), none.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(a["out"], F.array(own["out"])).alias("out"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int"))
+    nested = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<array<struct<start:int,end:int,kind:string,token:string>>>").alias("out"))
+    few = F.aggregate(row, first, step, lambda a: a["out"])
+    many = F.flatten(F.aggregate(blocks, nested, block, lambda a: a["out"]))
+    return F.when(text.rlike(pattern), F.when(F.size(found) <= _BLOCK, few).otherwise(many)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -82,14 +93,26 @@ def upper_tail(z: Column) -> Column:
     return F.greatest(F.when(z < 0, 1 - p).otherwise(p), F.lit(1e-300))
 
 
+def upper_point(p: Column) -> Column:
+    """The z with P(normal > z) = p, by a rational approximation."""
+    q = F.greatest(F.least(p, 1 - p), F.lit(1e-300))
+    u = F.sqrt(-2 * F.log(q))
+    z = u - (2.515517 + u * (0.802853 + u * 0.010328)) / (1 + u * (1.432788 + u * (0.189269 + u * 0.001308)))
+    return F.when(p <= 0.5, z).otherwise(-z)
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """Add ``encoding``, ``n``, ``stratum``, ``p_random`` and ``p_word`` to rows with a ``token``.
 
     Under uniform random characters of the inferred alphabet: chi-squared of the character counts (Wilson-Hilferty),
     Wald-Wolfowitz runs about the middle of the alphabet, and lag-one serial correlation of the codes. Fisher's method
-    joins them to ``p_random``. ``p_word`` is the chance that a word of this length and alphabet looks as uniform: its
-    chi-squared has a non-centrality that grows with the length. ``stratum`` is the length class. Tokens of digits
-    only, or without an encoding, are dropped.
+    joins them to ``p_random``.
+
+    ``p_word`` is the largest chance that a word of this length and alphabet has so small a joint statistic: the sum of
+    the three logarithms is at least the one of chi-squared, so it is the chance that a word's chi-squared, whose
+    non-centrality grows with the length, stays below the value that would make up the whole sum. A token that the
+    battery rejects as random at ``BATTERY_LEVEL`` has 1. ``stratum`` is the class of encoding and length. Tokens of
+    digits only, or without an encoding, are dropped.
     """
     bare = F.regexp_replace("token", "=+$", "")
     name, alphabet, share = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("double")
@@ -99,7 +122,8 @@ def battery(tokens: DataFrame) -> DataFrame:
     df = tokens.withColumn("bare", bare).where(~F.col("bare").rlike(r"^\d*$"))
     df = df.withColumns({"encoding": name, "alphabet": alphabet, "share": share}).where("encoding is not null")
     df = df.withColumns({"n": F.length("bare").cast("double"), "a": F.length("alphabet").cast("double")})
-    df = df.withColumn("chars", F.split("bare", "(?!^)"))
+    # The split also leaves an empty string at the end.
+    df = df.withColumn("chars", F.filter(F.split("bare", ""), lambda c: c != ""))
     df = df.withColumn("x", F.expr("transform(chars, c -> cast(locate(c, alphabet) - 1 as double))"))
     df = df.withColumn("squares", F.expr("aggregate(array_distinct(x), 0D, (s, v) -> s + pow(size(filter(x, y -> y = v)), 2))"))
     df = df.withColumns(
@@ -125,22 +149,29 @@ def battery(tokens: DataFrame) -> DataFrame:
             "extra": F.expr("(n - 1) * (a * share - 1)"),
         }
     )
-    half = F.lit(0.0)
-    for p in (upper_tail(F.col("z1")), 2 * upper_tail(F.abs("z2")), 2 * upper_tail(F.abs("z3"))):
-        half = half - F.log(F.least(p, F.lit(1.0)))
-    df = df.withColumn("half", half)
-    word = upper_tail(F.expr("(a - 1 + extra - chi2) / sqrt(2 * (a - 1) + 4 * extra)"))
+    df = df.withColumns(
+        {
+            "p1": upper_tail(F.col("z1")),
+            "p2": F.least(2 * upper_tail(F.abs("z2")), F.lit(1.0)),
+            "p3": F.least(2 * upper_tail(F.abs("z3")), F.lit(1.0)),
+        }
+    )
+    df = df.withColumn("half", -F.log("p1") - F.log("p2") - F.log("p3"))
+    df = df.withColumn("zt", upper_point(F.exp(-F.col("half"))))
+    df = df.withColumn("most", F.expr("(a - 1) * pow(greatest(1 - 2 / (9 * (a - 1)) + zt * sqrt(2 / (9 * (a - 1))), 0D), 3)"))
+    joined = upper_tail(F.expr("(a - 1 + extra - most) / sqrt(2 * (a - 1) + 4 * extra)"))
+    df = df.withColumn("p_random", F.expr("exp(-half) * (1 + half + half * half / 2)"))
+    kinds = F.array(*(F.lit(n) for n, *_ in ENCODINGS))
     return df.withColumns(
         {
-            "p_random": F.expr("exp(-half) * (1 + half + half * half / 2)"),
-            "p_word": word,
-            "stratum": F.least(F.floor(F.log2("n") * 2), F.lit(40)).cast("int"),
+            "p_word": F.when(F.col("p_random") >= BATTERY_LEVEL, F.least(joined, F.lit(1.0))).otherwise(1.0),
+            "stratum": (F.array_position(kinds, F.col("encoding")) * 100 + F.least(F.floor(F.log2("n") * 2), F.lit(40))).cast("int"),
         }
-    ).drop("bare", "alphabet", "share", "a", "chars", "x", "squares", "chi2", "high", "runs", "mean", "var", "lagged", "pairs", "z1", "z2", "z3", "extra", "half")
+    ).drop(*"bare alphabet share a chars x squares chi2 high runs mean var lagged pairs z1 z2 z3 extra p1 p2 p3 half zt most".split())
 
 
 def cutoffs(tested: DataFrame, share: float = FALSE_SHARE) -> dict[int, int]:
-    """Lowest bin of ``p_word`` that is reported in each length class, by Benjamini-Hochberg over binned p-values.
+    """Lowest bin of ``p_word`` that is reported in each class, by Benjamini-Hochberg over binned p-values of all tokens.
 
     The table of counts has at most one row for each class and bin. A bin counts with its largest p-value, so the
     control errs on the safe side; a class without an acceptable bin is left out.
@@ -175,7 +206,7 @@ def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None
     """Each row's columns ``carry`` with ``found``: array<struct<start, end, rank>> in code points, end exclusive.
 
     Base kinds come from patterns. A candidate's pieces outside them, the whole and those between separators, are each
-    reported as ``random`` if the battery does not reject randomness and ``p_word`` is below the length class's cutoff; a
+    reported as ``random`` if ``p_word``, which joins the three tests, is below the cutoff of its encoding and length; a
     piece inside another reported one is left out. Null and empty texts have no spans.
     Repeated rows are scanned one by one, yet all count as candidates of their class. Only rows with candidates are
     joined with the findings, by a row number that is written down first.
@@ -193,7 +224,7 @@ def scan(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None
     # Written before any filter on the figures, which would be pushed down and repeat their expressions.
     tested = materialize(battery(tokens).select("row", "start", "end", "stratum", "p_random", "p_word"))
     bins = F.least(F.floor(-F.log10("p_word") * _PER_DECADE), F.lit(_BINS)).cast("int")
-    tested = tested.where(F.col("p_random") >= BATTERY_LEVEL).withColumn("bin", bins)
+    tested = tested.withColumn("bin", bins)
     least = cutoffs(tested, false_share)
     passes = F.lit(False)
     for s, b in least.items():

@@ -1,11 +1,13 @@
 """The training-data operators against plain Python, on whole small tables and on edge cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import duckdb
 import numpy as np
@@ -321,7 +323,6 @@ def test_op6_brute_force_and_blocks(spark, edge):
 def test_op7(spark):
     got = queries.QUERIES["op7_best_fit_packing"](spark, SF).toPandas()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = table("documents")
     for i, e in zip(docs.doc_id, t.encode_batch(docs.text.tolist(), add_special_tokens=False), strict=True):
         ids = np.array([*e.ids, 2], "<u4")
@@ -338,11 +339,11 @@ def test_op7(spark):
 
 def test_chunk_encoder():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     encode = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), chunks=50)
     rnd = random.Random(1)
-    texts = ["a  b", " a ", "\n a", "x\x1c y", "<|endoftext|> a", "don't  'll", "a" * 5000, "日本 語  x"]
+    texts = ["a  b", " a ", "\n a", "x\x1c y", "<|endoftext|> a", "hello <|endoftext|> x", "a<|endoftext|><|endoftext|>b", " <|endoftext|>  y", "don<|endoftext|>'t <|endoftext|", "don't  'll", "a" * 5000, "日本 語  x"]
     texts += ["".join(rnd.choice(" \n\tab1é'’s.² \x85\x1cñ日") for _ in range(30)) for _ in range(300)]
+    texts += ["".join(rnd.choice([" ", "a", "'s", "\n", "<|endoftext|>", "<|"]) for _ in range(20)) for _ in range(200)]
     assert all(encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, np.uint32).tobytes() for x in texts)
 
 
@@ -411,6 +412,76 @@ def test_op8_pieces(spark):
     assert all("get api/v1/user-" in out[i] for i in range(0, 30, 3))
 
 
+def plain_battery(token):
+    """(encoding, length class, p_random, p_word) of a token in plain Python, None if it is not tested."""
+    bare = re.sub("=+$", "", token)
+    kind = next((e for e in secretscan.ENCODINGS if re.match(e[1], bare)), None)
+    if kind is None or re.match(r"^\d*$", bare):
+        return None
+    tail = lambda z: max(0.5 * math.erfc(z / math.sqrt(2)), 1e-300)
+    x, n, a = [kind[2].index(c) for c in bare], len(bare), len(kind[2])
+    chi = a / n * sum(k * k for k in Counter(x).values()) - n
+    high, mean = sum(v >= a / 2 for v in x), sum(x) / n
+    runs, var = 1 + sum((p >= a / 2) != (q >= a / 2) for p, q in zip(x, x[1:])), sum((v - mean) ** 2 for v in x)
+    pairs = 2 * high * (n - high)
+    z1 = ((chi / (a - 1)) ** (1 / 3) - (1 - 2 / (9 * (a - 1)))) / math.sqrt(2 / (9 * (a - 1)))
+    z2 = (runs - 1 - pairs / n) / math.sqrt(pairs * (pairs - n) / (n * n * (n - 1))) if pairs > n else 8
+    z3 = (sum((p - mean) * (q - mean) for p, q in zip(x, x[1:])) / var + 1 / n) * math.sqrt(n) if var > 0 else 8
+    p = [tail(z1), min(1, 2 * tail(abs(z2))), min(1, 2 * tail(abs(z3)))]
+    extra = (n - 1) * (a * kind[3] - 1)
+    half = -sum(map(math.log, p))
+    z = NormalDist().inv_cdf(1 - math.exp(-half)) if half < 30 else 8
+    most = (a - 1) * max(1 - 2 / (9 * (a - 1)) + z * math.sqrt(2 / (9 * (a - 1))), 0) ** 3
+    random_ = math.exp(-half) * (1 + half + half * half / 2)
+    word = tail((a - 1 + extra - most) / math.sqrt(2 * (a - 1) + 4 * extra))
+    return kind[0], min(int(2 * math.log2(n)), 40), random_, word if random_ >= secretscan.BATTERY_LEVEL else 1.0
+
+
+def test_op8_brute_force(spark):
+    """Spans of kind random on whole documents against the tests and the control in plain Python."""
+    rnd = random.Random(11)
+    sets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/"]
+    more = [(10**6 + i, f"see {''.join(rnd.choice(sets[i % 3]) for _ in range(rnd.randint(20, 70)))} there") for i in range(60)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r["doc_id"]: {(x["start"], x["end"]) for x in r["found"] if x["rank"] == 3} for r in secretscan.scan(docs, carry=["doc_id"]).collect()}
+    tested = []
+    for r in docs.select("doc_id", "text").collect():
+        base = [(s, e) for s, _, e, _ in spans_of(r["text"] or "")]
+        for m in re.finditer(secretscan.CANDIDATE, r["text"] or ""):
+            bare = list(m[0])
+            for s, e in base:
+                for k in range(max(s, m.start()), min(e, m.end())):
+                    bare[k - m.start()] = " "
+            for s, e, t in {(x.start() + m.start(), x.end() + m.start(), x[0]) for p in secretscan.PIECES for x in re.finditer(p, "".join(bare))}:
+                if found := plain_battery(t):
+                    tested.append((r["doc_id"], s, e, *found))
+    classes, want = defaultdict(list), defaultdict(set)
+    for t in tested:
+        classes[t[3], t[4]].append(t)
+    for own in classes.values():
+        bins = [min(int(-math.log10(max(t[6], 1e-300)) * 8), 160) for t in own]
+        good = [b for b in set(bins) if 10 ** (-b / 8) * len(own) <= 0.05 * sum(x >= b for x in bins)]
+        for t, b in zip(own, bins, strict=True):
+            if good and b >= min(good):
+                want[t[0]].add((t[1], t[2]))
+    inner = lambda own: {x for x in own if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in own)}
+    off = [i for i in got if got[i] != inner(want[i])]
+    assert sum(map(len, want.values())) > 20 and not off
+    assert not any(want[i] for i in want if i < 10**6)
+
+
+def test_op8_long_text(spark):
+    """A text of megabytes with thousands of matches of every kind, and one without any."""
+    rnd = random.Random(3)
+    hexes = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(3000)]
+    text = " ".join(f"é some words here {h} password: abcdefgh{i % 10} {'lorem ipsum ' * 20}" for i, h in enumerate(hexes))
+    docs = spark.createDataFrame([(1, text), (2, "nothing at all " * 100_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["found"] for r in secretscan.scan(docs, carry=["doc_id"]).collect()}
+    assert [(x["start"], x["rank"], x["end"]) for x in got[1] if x["rank"] < 3] == [x[:3] for x in spans_of(text)] and len(got[1]) >= 6000
+    assert got[2] == []
+
+
 def test_op8_edges(spark, edge):
     assert secretscan.scan(edge).count() == len(EDGE)
     assert secretscan.redacted(edge.limit(0)).columns == edge.columns
