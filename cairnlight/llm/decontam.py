@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -84,7 +85,7 @@ def build_searches(items: list[tuple[object, bytes]], window: int = WINDOW) -> t
     return [WordSearch(n, p) for n, p in sorted(by_length.items())], ids_of
 
 
-_built: dict[int, tuple[list[WordSearch], list[list[str]]]] = {}
+_built: dict[str, tuple[list[WordSearch], list[list[str]]]] = {}
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[int]:
@@ -101,7 +102,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[int]:
 def _scan(df: DataFrame, items: list, window: int, more: bool, carry: list[str]) -> DataFrame:
     """One pass over the documents for one block of items; ``more`` keeps the text for the next pass."""
     shared = df.sparkSession.sparkContext.broadcast(items)
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key = uuid.uuid4().hex
 
     def per_task():
         if key not in _built:

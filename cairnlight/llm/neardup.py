@@ -162,8 +162,13 @@ def near_duplicates(
         edges, comp = _grown(edges, comp, _crowded(many, comp, nodes.select("node", "keys"), texts, least))
 
     named = materialize(nodes.join(comp, "node", "left").select("node", "first", "n_copies", F.coalesce("comp", "node").alias("comp")))
-    classes = named.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n_copies").alias("class_size"))
-    of_node = named.join(classes, "comp").select(
+    classes = named.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n_copies").alias("class_size"), F.count("*").alias("members"))
+    classes = materialize(classes)
+    # A class with a hundredth of all nodes would meet in one task; there are at most a hundred such.
+    most = max(100, classes.agg(F.sum("members")).first()[0] or 0) / 100
+    large, small = classes.where(F.col("members") >= most), classes.where(F.col("members") < most)
+    with_class = named.join(F.broadcast(large), "comp").unionByName(named.join(F.broadcast(large.select("comp")), "comp", "left_anti").join(small, "comp"))
+    of_node = with_class.select(
         "node",
         F.col("head.id").alias("class_id"),
         F.col("first.id").alias("representative"),

@@ -78,11 +78,11 @@ def page_words(html: Column) -> Column:
 def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
     """(host, host_words) for distinct ``hosts``, given counts (word, n) of a corpus.
 
-    Each distinct label sends its substrings of up to ``LONGEST`` letters to a join with the counts; a label's own
+    Labels are what lies between characters that are neither letters nor digits. Each distinct label sends its substrings of up to ``LONGEST`` letters to a join with the counts; a label's own
     substrings come back together, at most ``LONGEST`` for each letter.
     """
     total = words.agg(F.sum("n")).first()[0] or 0
-    parts = hosts.select("host", F.posexplode(F.split("host", r"\.")).alias("k", "label"))
+    parts = hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}\p{N}]+")).alias("k", "label")).where("label <> ''")
     labels = parts.select("label").distinct()
     substrings = labels.select(
         "label",

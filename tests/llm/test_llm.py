@@ -115,6 +115,24 @@ def test_op2_edges(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string"), []).count() == 0
 
 
+def test_op2_odds(spark):
+    """Words of hosts and log odds against plain counts over the decided URLs; labels are cut at hyphens."""
+    hosts = ["casino-win.com", "cheap-pills.net", "newsdaily.org", "b.news-daily.org", "pills.com"]
+    rows = [(i, f"http://{h}/{p}/{i % 3}?q", "<p>casino win cheap pills news daily</p>") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("en/a", "de/b c"))]
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [("block", "com/en/"), ("allow", "org/")]).toPandas().set_index("page_id")
+    assert got.host_words[0] == ["casino", "win", "com"][: len(got.host_words[0])] or got.host_words[0][:2] == ["casino", "win"]
+    assert got.host_words[4][:2] == ["news", "daily"] and got.host_words[6][1:3] == ["news", "daily"]
+    sums = {v: np.full(urlfilter.BUCKETS, urlfilter.PRIOR) for v in urlfilter.VERDICTS}
+    for r in got[got.rule.notna()].itertuples():
+        for b in urlfilter.buckets_of(r.host_words, r.path):
+            sums[r.verdict][b] += 1
+    w = np.log(sums["block"] / sums["block"].sum()) - np.log(sums["allow"] / sums["allow"].sum())
+    for r in got.itertuples():
+        odds = sum(w[b] for b in urlfilter.buckets_of(r.host_words, r.path))
+        assert abs(odds - r.log_odds) < 1e-9
+        assert pd.notna(r.rule) or r.verdict == ("block" if odds > 0 else "allow")
+
+
 # 3
 
 
