@@ -13,7 +13,9 @@ from cairnlight.llm.align import components, similarity_at_least
 from cairnlight.llm.common import id_type, map_rows, materialize
 
 #: Words in a shingle, sketches of a text, shingles in a sketch.
-SHINGLE, SKETCHES, TAKEN = 5, 24, 3
+SHINGLE, SKETCHES, TAKEN = 5, 40, 2
+#: Hashes that the sketches of a text are chosen from at a time.
+CELLS = 1_000_000
 #: Largest bucket whose pairs are rows; a larger one is dealt out in blocks of about ``BLOCK`` texts.
 CROWD, BLOCK = 32, 128
 #: Counters of a text's bag of hashed words.
@@ -24,7 +26,7 @@ LEAST = 0.8
 _rng = np.random.Generator(np.random.PCG64(20_240_101))
 _MULTIPLIERS = _rng.integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _rng.integers(1 << 62, size=256, dtype=np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 
 
 def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -47,18 +49,26 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 
 def order_sketches(hashes: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN) -> list[int]:
-    """For each sketch, a key of its ``taken`` smallest shingles in text order; texts with fewer use all."""
-    out = []
-    for j in range(sketches):
-        v = (hashes ^ _OFFSETS[j]) * _MULTIPLIERS[j]
+    """For each sketch, a key of its ``taken`` smallest shingles in text order; texts with fewer use all.
+
+    Sketches are taken many at a time, as long as their table of hashes stays under ``CELLS`` cells.
+    """
+    n, out = len(hashes), []
+    for first in range(0, sketches, step := max(1, CELLS // n)):
+        j = np.arange(first, min(first + step, sketches))
+        v = (hashes ^ _OFFSETS[j, None]) * _MULTIPLIERS[j, None]
         v ^= v >> np.uint64(32)
         v *= _MIX
-        chosen = np.sort(np.argpartition(v, taken - 1)[:taken]) if len(v) > taken else np.arange(len(v))
-        key = j + 1
-        for x in hashes[chosen].tolist():
-            key = ((key ^ x) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
-            key ^= key >> 31
-        out.append(key - (1 << 64) if key >> 63 else key)
+        at = np.empty((len(j), min(taken, n)), np.int64)
+        for t in range(at.shape[1]):
+            at[:, t] = v.argmin(axis=1)
+            v[np.arange(len(j)), at[:, t]] = np.iinfo(np.uint64).max
+        at.sort(axis=1)
+        key = (j + 1).astype(np.uint64)
+        for t in range(at.shape[1]):
+            key = (key ^ hashes[at[:, t]]) * _MIX + _ODD
+            key ^= key >> np.uint64(31)
+        out += key.view(np.int64).tolist()
     return out
 
 

@@ -224,6 +224,24 @@ def test_op3_crowded_bucket_is_exact(spark, least, shared, own, kept):
     assert got.class_id.nunique() == 150
 
 
+@pytest.mark.parametrize("shared", [0, 60])
+def test_op3_recall(spark, shared):
+    """Pairs of texts of 120 words with 6, 12 and 18 words changed (0.95, 0.9 and 0.85), with and without a common passage."""
+    rnd = random.Random(shared)
+    new = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    passage, rows = new(shared), []
+    for i in range(300):
+        a = passage + new(120 - shared)
+        b = list(a)
+        for k in rnd.sample(range(120), 6 * (i % 3 + 1)):
+            b[k] = new(1)[0]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").class_id
+    found = [sum(got[2 * i] == got[2 * i + 1] for i in range(k, 300, 3)) for k in range(3)]
+    assert found[0] == 100 and found[1] >= 97 and found[2] >= 90, found
+    assert not any(got[2 * i + 1] not in (2 * i, 2 * i + 1) for i in range(300))
+
+
 def test_op3_edges(spark, edge):
     got = neardup.near_duplicates(edge).toPandas()
     assert len(got) == len(EDGE) and got.keep.sum() == 6
