@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 
 from cairnlight.functions.text import _WORD, pack_sentences
 
-_BLOCK = re.compile(r"\S(?:.*?\S)??(?=\s*\n\s*\n|\s*\Z)", re.S)
+#: What parts blocks, and lines that alone make no paragraph.
+_BLANK = re.compile(r"\n[ \t]*(?=\n)")
+_EMPTY_LINE = re.compile(r"#{1,6}\s+.*|[-*_]{3,}")
 
 
 def paragraphs(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, text) of blocks between blank lines; headings and rules alone are no paragraphs."""
-    out = []
-    for m in _BLOCK.finditer(text or ""):
-        lines = [x.strip() for x in m[0].splitlines() if x.strip()]
-        if not all(x.startswith("#") or re.fullmatch(r"[-=_*]{3,}", x) for x in lines):
-            out.append((m.start(), m.end(), m[0]))
+    """(start, end, text) of blocks between blank lines; blocks of headings and rules alone are no paragraphs."""
+    out, start, text = [], 0, text or ""
+    for end in [*(m.start() for m in _BLANK.finditer(text)), len(text)]:
+        block = text[start:end].strip()
+        if block and not all(_EMPTY_LINE.fullmatch(x.strip()) for x in block.splitlines() if x.strip()):
+            at = text.index(block, start)
+            out.append((at, at + len(block), block))
+        start = end
     return out
 
 
@@ -32,26 +36,32 @@ def paragraphs_of(c: Column) -> Column:
 
 
 def chunks(blocks: list[str], least: int = 40, most: int = 250, min_chars: int = 80) -> list[tuple[str, bool]]:
-    """(text, short) of accumulated blocks: flushed as soon as ``least`` words are reached; blocks over ``most`` are cut.
+    """(text, short) of accumulated blocks, flushed as soon as ``least`` words are reached.
 
-    A last chunk with too few characters is dropped, one with too few words is kept and marked short.
+    A block of over ``most`` words closes the running chunk, and its pieces stand by themselves. A chunk with too few
+    characters is dropped, one with too few words is kept and marked short, as is a short piece.
     """
-    out, current, size = [], [], 0
+    out: list[tuple[str, bool]] = []
+    held: list[str] = []
+
+    def words(x: str) -> int:
+        return len(_WORD.findall(x))
 
     def flush() -> None:
-        text = " ".join(current)
+        text = " ".join(" ".join(held).split())
         if len(text) >= min_chars:
-            out.append((text, size < least))
-
-    for block in blocks:
-        for part in pack_sentences(block, most):
-            current.append(part)
-            size += len(_WORD.findall(part))
-            if size >= least:
+            out.append((text, words(text) < least))
+        held.clear()
+
+    for block in (" ".join(x.split()) for x in blocks):
+        if words(block) > most:
+            flush()
+            out += [(piece, words(piece) < least) for piece in pack_sentences(block, most)]
+        elif block:
+            held.append(block)
+            if sum(map(words, held)) >= least:
                 flush()
-                current, size = [], 0
-    if current:
-        flush()
+    flush()
     return out
 
 

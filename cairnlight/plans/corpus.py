@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +145,18 @@ def sc20(spark, sf_dir):
     return pairs.select("item_id", "doc_id", X.quote_mode(F.col("text"), F.col("quote")).alias("mode")).where("mode <> 'full_disclosure'")
 
 
+@query("SC10_unique_headers")
+def sc10(spark, sf_dir):
+    """Headers of a table from the first line of each document, cut at bars."""
+
+    @F.pandas_udf("headers array<string>, warnings array<string>")
+    def named(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([X.unique_headers(x.split("|")) for x in s], columns=["headers", "warnings"])
+
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    return docs(spark, sf_dir).select("doc_id", named(first).alias("h")).select("doc_id", "h.headers", "h.warnings")
+
+
 @query("SC22_template", "SELECT p_partkey, 'Part ' || p_name || ' of ' || p_brand AS t FROM part")
 def sc22(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", X.render("Part {name} of {brand}", {"name": F.col("p_name"), "brand": F.col("p_brand")}).alias("t"))

@@ -79,6 +79,11 @@ def test_quotes(spark):
     assert [r[0] for r in rows] == ["verbatim_line_segments", "full_disclosure", "exact"] and rows[2][1] == [0, 1, 2]
 
 
+def test_render_once(spark):
+    row = spark.createDataFrame([("{b}", "x")], "a string, b string").select(X.render("{a} and {b}, {c}", {"a": F.col("a"), "b": F.col("b")}).alias("t")).first()
+    assert row["t"] == "{b} and x, {c}"
+
+
 def test_numbers_and_cells(spark):
     cases = {"(1,234)": 1234.0, "1.234,5": 1.2345, "12 %": 12.0, "": None, "x": None, ".5": 0.5, "+3": 3.0}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
@@ -86,7 +91,8 @@ def test_numbers_and_cells(spark):
     cells = [("Value", "n/a", "missing"), ("Year", "2023", "year"), ("Unit", "MWh", "unit"), ("V", "(5)", "number"), ("V", "5%", "percent"), ("V", "tCO2e", "unit"), ("V", "hello", "text")]
     df = spark.createDataFrame(cells, "h string, c string, want string")
     assert df.where(X.cell_type(F.col("h"), F.col("c")) != F.col("want")).count() == 0
-    assert X.unique_headers(["a", "", "a", None]) == ["a", "unnamed_column_2", "a__2", "unnamed_column_4"]
+    assert X.unique_headers(["a", "", "a", None]) == (["a", "unnamed_column_1", "a__2", "unnamed_column_3"], ["duplicate_column_headers", "empty_column_header"])
+    assert X.unique_headers(["a  b ", "a b"])[0] == ["a b", "a b__2"]
 
 
 def test_unicode_text(spark):
@@ -180,5 +186,9 @@ def test_folds():
     assert folds.evidence_blocks("A x B y A", ["A", "B", "A", "Z"]) == [0, 4, 8, -1]
     assert folds.patched(["a", "b", "c", "d"], [([3, 1], ["m"])], ["z"]) == ["a", "m", "c", "z"]
     assert folds.water_fill({"a": 5, "b": 1, "c": 4}, {"a": 9, "b": 2, "c": 9}, 4) == {"a": 1, "b": 2, "c": 1}
+    assert [p[2] for p in folds.paragraphs("#hashtag text\n\n===\n\n## Head\n***\n \n\n a | b ")] == ["#hashtag text", "===", "a | b"]
+    sentence = "one two three four five six seven eight nine ten. "
+    mixed = folds.chunks(["short text " * 10, sentence * 30, "tail words here " * 10], 40, 250)
+    assert [len(t.split()) for t, _ in mixed] == [20, 250, 50, 30] and [k for _, k in mixed] == [True, False, False, True]
     out = folds.chunks(["word " * 30, "word " * 30, "word " * 20], 40, 250)
     assert [k for _, k in out] == [False, True]
