@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairnlight.functions.text import bm25_tokens
 
@@ -29,7 +31,7 @@ def bm25_scores(cards: DataFrame, queries: DataFrame, pool: str, id_col: str = "
     query has are kept, and the query's distinct terms meet them by an equi-join, never query by card.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
-    tokens = cards.select(pool, id_col, bm25_tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
+    tokens = cards.select(pool, id_col, bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
     pools = tokens.groupBy(pool).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     postings = (
         tokens.select(pool, id_col, "len", F.explode("tokens").alias("term"))
@@ -44,9 +46,130 @@ def bm25_scores(cards: DataFrame, queries: DataFrame, pool: str, id_col: str = "
     return weighted.join(terms, "term").groupBy("query_id", pool, id_col).agg(F.round(F.sum("w"), 9).alias("score"))
 
 
+#: Most query terms, pools times terms, and query vectors whose table goes to every task; beyond them joins are used.
+TABLE_CELLS = 4_000_000
+#: Scores of a batch of cards that are held at a time.
+SCORE_CELLS = 2_000_000
+
+
 def rank_bm25(cards: DataFrame, queries: DataFrame, pool: str, top_n: int, id_col: str = "evidence_id") -> DataFrame:
     """Top cards of each query and pool. Cards without a shared term rank after the others, by id.
 
+    The query side is small: while its terms and each pool's figures for them stay under ``TABLE_CELLS``, they go to
+    every task, a batch of cards is scored against all queries at once, and only the best of each batch are shuffled.
+    A larger query side meets the cards by joins (``rank_bm25_joined``), with the same result.
+    """
+    spark = cards.sparkSession
+    terms = queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
+    sizes = terms.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("pairs")).crossJoin(queries.agg(F.count_distinct("query_id").alias("queries"))).first()
+    tokens = cards.select(F.col(pool).alias("pool"), F.col(id_col).alias("id"), bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    pools = {r["pool"]: (r["n"], r["avgdl"]) for r in tokens.groupBy("pool").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).limit(TABLE_CELLS + 1).collect()}
+    if max(sizes["terms"] * max(len(pools), sizes["queries"]), sizes["pairs"]) > TABLE_CELLS:
+        return rank_bm25_joined(cards, queries, pool, top_n, id_col)
+    query_ids = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]
+    number: dict[str, int] = {}
+    place = {q: i for i, q in enumerate(query_ids)}
+    pairs = [(place[r["query_id"]], number.setdefault(r["term"], len(number))) for r in terms.collect()]
+    has = np.zeros((max(1, len(number)), len(query_ids)))
+    for q, t in pairs:
+        has[t, q] = 1.0
+    pool_number = {p: i for i, p in enumerate(pools)}
+    vocabulary = spark.sparkContext.broadcast((number, pool_number))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of_pool = vocabulary.value
+        found: dict[int, int] = {}
+        for batch in batches:
+            for p, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for t in {known[x] for x in own if x in known}:
+                    cell = of_pool[p] * len(known) + t
+                    found[cell] = found.get(cell, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["cell", "df"])
+
+    df = np.zeros(max(1, len(pools)) * max(1, len(number)))
+    for r in tokens.select("pool", "tokens").mapInArrow(count, "cell long, df long").groupBy("cell").agg(F.sum("df").alias("df")).toArrow().to_pylist():
+        df[r["cell"]] = r["df"]
+    n = np.array([pools[p][0] for p in pools] or [0.0])[:, None]
+    idf = np.log(1 + (n - df.reshape(len(n), -1) + 0.5) / (df.reshape(len(n), -1) + 0.5))
+    model = spark.sparkContext.broadcast((idf, has, [max(pools[p][1], 1e-9) for p in pools]))
+
+    def score(batch: pa.RecordBatch) -> np.ndarray:
+        (known, of_pool), (weights, matrix, lengths) = vocabulary.value, model.value
+        out = np.zeros((batch.num_rows, matrix.shape[1]))
+        for i, (p, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            tf: dict[int, int] = {}
+            for x in own:
+                if (t := known.get(x)) is not None:
+                    tf[t] = tf.get(t, 0) + 1
+            if tf:
+                k, at = of_pool[p], np.fromiter(tf, np.int64, len(tf))
+                f = np.fromiter(tf.values(), np.float64, len(tf))
+                w = weights[k, at] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(own) / lengths[k]))
+                out[i] = w @ matrix[at]
+        return np.round(out, 9)
+
+    return _best(tokens, score, query_ids, queries.schema["query_id"].dataType.simpleString(), pool, id_col, top_n)
+
+
+def _best(rows: DataFrame, score, query_ids: list, query_type: str, pool: str, id_col: str, top_n: int) -> DataFrame:
+    """Top rows of each query and pool; ``rows`` has pool and id first, and ``score`` gives a matrix for a batch of them.
+
+    A batch passes on its own top rows only.
+    """
+    kinds = f"query_id {query_type}, pool {rows.schema['pool'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+
+    target = to_arrow_schema(T._parse_datatype_string(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORE_CELLS // max(1, len(query_ids)))
+        for whole in batches:
+            for start in range(0, whole.num_rows if query_ids else 0, step):
+                batch = whole.slice(start, step)
+                ids, of = np.array(batch.column(1).to_pylist(), object), batch.column(0).to_pylist()
+                scores, members = score(batch), {}
+                for i in sorted(range(len(ids)), key=ids.__getitem__):
+                    members.setdefault(of[i], []).append(i)
+                for p, own in members.items():
+                    at = np.array(own)
+                    order = np.argsort(-scores[at], axis=0, kind="stable")[:top_n]
+                    best, k = at[order].T.ravel(), order.shape[0]
+                    q = np.repeat(np.arange(len(query_ids)), k)
+                    columns = [[query_ids[x] for x in q], [p] * len(q), ids[best].tolist(), scores[best, q] + 0.0]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    found = rows.mapInArrow(run, kinds).select("query_id", F.col("pool").alias(pool), F.col("id").alias(id_col), "score")
+    return ranked(found, ["query_id", pool], "score", id_col, top_n)
+
+
+def rank_dense_pools(pool_rows: DataFrame, queries: DataFrame, pool: str, top_n: int, id_col: str = "evidence_id") -> DataFrame:
+    """Top vectors of each query in each pool by dot product, (query_id, query_vector) against (pool, id, vector).
+
+    Query vectors go to every task and are multiplied with batches of vectors; over ``TABLE_CELLS`` numbers they take
+    several passes, one block of queries each.
+    """
+    spark, size = pool_rows.sparkSession, 1
+    total = queries.count()
+    first = queries.first()
+    size = len(first["query_vector"]) if first is not None else 1
+    blocks = max(1, -(-total * size // TABLE_CELLS))
+    rows = pool_rows.select(F.col(pool).alias("pool"), F.col(id_col).alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    out = None
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
+        shared = spark.sparkContext.broadcast(np.array([r["query_vector"] for r in own], np.float64).reshape(len(own), -1))
+
+        def score(batch: pa.RecordBatch, shared=shared) -> np.ndarray:
+            vectors = np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            return np.round(vectors @ shared.value.T, 6)
+
+        part = _best(rows, score, [r["query_id"] for r in own], queries.schema["query_id"].dataType.simpleString(), pool, id_col, top_n)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def rank_bm25_joined(cards: DataFrame, queries: DataFrame, pool: str, top_n: int, id_col: str = "evidence_id") -> DataFrame:
+    """``rank_bm25`` by joins, for any number of queries and terms.
+
     At most ``top_n`` cards of a pool can fill a list, so only those with the smallest ids are paired with the queries.
     """
     scores = bm25_scores(cards, queries, pool, id_col)

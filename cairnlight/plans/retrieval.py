@@ -34,16 +34,19 @@ bm AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, company_id ORDER
        FROM alls QUALIFY rank <= 20)"""
 )
 
-#: cov: ranking by how many distinct query terms a card has, over cards with any.
-COVERAGE = """,
-cv AS (SELECT query_id, company_id, evidence_id, CAST(count(*) AS DOUBLE) AS score FROM post JOIN qt USING (term) GROUP BY ALL),
-cov AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, company_id ORDER BY score DESC, evidence_id) AS INTEGER) AS rank
-        FROM cv QUALIFY rank <= 20)"""
+#: dense: ranking by dot product. The vector of a card is the one with its document's id, that of a query the one with its id;
+#: cards and queries without one are in no dense list.
+DENSE = """,
+dv AS (SELECT q.item_id AS query_id, c.company_id, c.evidence_id,
+              round(list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda x: x[1] * x[2])), 6) AS score
+       FROM benchmark q JOIN embeddings v ON v.vec_id = q.item_id CROSS JOIN cards c JOIN embeddings e ON e.vec_id = c.doc_id),
+dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, company_id ORDER BY score DESC, evidence_id) AS INTEGER) AS rank
+          FROM dv QUALIFY rank <= 20)"""
 
 FUSED = """,
-every AS (SELECT query_id, company_id, evidence_id, 'bm25' AS list, rank FROM bm UNION ALL SELECT query_id, company_id, evidence_id, 'coverage', rank FROM cov),
+every AS (SELECT query_id, company_id, evidence_id, 'bm25' AS list, rank FROM bm UNION ALL SELECT query_id, company_id, evidence_id, 'dense', rank FROM dense),
 sums AS (SELECT query_id, company_id, evidence_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score,
-                max(CASE WHEN list = 'bm25' THEN rank END) AS bm25_rank, max(CASE WHEN list = 'coverage' THEN rank END) AS coverage_rank
+                max(CASE WHEN list = 'bm25' THEN rank END) AS bm25_rank, max(CASE WHEN list = 'dense' THEN rank END) AS dense_rank
          FROM every GROUP BY ALL),
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, company_id ORDER BY rrf_score DESC, evidence_id) AS INTEGER) AS rank FROM sums)"""
 
@@ -52,16 +55,16 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rank_bm25(cards(spark, sf_dir), subqueries(spark, sf_dir), "company_id", TOP)
 
 
-def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct query terms per card."""
-    terms = subqueries(spark, sf_dir).select("query_id", F.explode(F.array_distinct(R.bm25_tokens(F.col("text")))).alias("term"))
-    own = cards(spark, sf_dir).select("company_id", "evidence_id", F.explode(F.array_distinct(R.bm25_tokens(F.col("text")))).alias("term"))
-    hits = own.join(terms, "term").groupBy("query_id", "company_id", "evidence_id").agg(F.count("*").cast("double").alias("score"))
-    return R.ranked(hits, ["query_id", "company_id"], "score", "evidence_id", TOP)
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of each company by the dot product of their vectors with the query's."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    own = cards(spark, sf_dir).join(vectors, F.col("doc_id") == F.col("vec_id")).select("company_id", "evidence_id", F.col("embedding").alias("vector"))
+    q = subqueries(spark, sf_dir).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("query_vector"))
+    return R.rank_dense_pools(own, q, "company_id", TOP)
 
 
 def fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.rrf_fuse({"bm25": bm25(spark, sf_dir), "coverage": coverage(spark, sf_dir)}, ["query_id", "company_id"])
+    return R.rrf_fuse({"bm25": bm25(spark, sf_dir), "dense": dense(spark, sf_dir)}, ["query_id", "company_id"])
 
 
 @query("RT3_bm25_rank", f"WITH {BM25} SELECT query_id, company_id, evidence_id, round(score, 6) AS score, rank FROM bm")
@@ -88,12 +91,12 @@ def rt2(spark, sf_dir):
     return s.select("query_id", "company_id", "evidence_id", F.round("score", 6).alias("score"))
 
 
-@query("RT6_rrf_fuse", f"WITH {BM25}{COVERAGE}{FUSED} SELECT query_id, company_id, evidence_id, round(rrf_score, 6) AS rrf_score, bm25_rank, coverage_rank, rank FROM fused")
+@query("RT6_rrf_fuse", f"WITH {BM25}{DENSE}{FUSED} SELECT query_id, company_id, evidence_id, round(rrf_score, 6) AS rrf_score, bm25_rank, dense_rank, rank FROM fused")
 def rt6(spark, sf_dir):
-    return fuse(spark, sf_dir).select("query_id", "company_id", "evidence_id", F.round("rrf_score", 6).alias("rrf_score"), "bm25_rank", "coverage_rank", "rank")
+    return fuse(spark, sf_dir).select("query_id", "company_id", "evidence_id", F.round("rrf_score", 6).alias("rrf_score"), "bm25_rank", "dense_rank", "rank")
 
 
-_STRATA = f"""WITH {BM25}{COVERAGE}{FUSED},
+_STRATA = f"""WITH {BM25}{DENSE}{FUSED},
 st AS (SELECT f.*, c.source_type, row_number() OVER (PARTITION BY query_id, f.company_id, source_type ORDER BY rank) AS sr
        FROM fused f JOIN cards c USING (evidence_id) QUALIFY sr <= 3)
 SELECT query_id, company_id, source_type, evidence_id, round(rrf_score, 6) AS rrf_score,
@@ -102,7 +105,7 @@ SELECT query_id, company_id, source_type, evidence_id, round(rrf_score, 6) AS rr
 
 @query("retrieval", _STRATA)
 def flagship(spark, sf_dir):
-    """BM25 and term coverage per query and company, fused, the first of each card type, numbered for a prompt."""
+    """BM25 and dense lists per query and company, fused, the first of each card type, numbered for a prompt."""
     kinds = cards(spark, sf_dir).select("evidence_id", "source_type")
     out = R.stratified(fuse(spark, sf_dir).join(kinds, "evidence_id"), ["query_id", "company_id"], "source_type", PER)
     return out.select("query_id", "company_id", "source_type", "evidence_id", F.round("rrf_score", 6).alias("rrf_score"), "prompt_rank")
@@ -114,7 +117,7 @@ query("TK3_stratified_top", _STRATA)(flagship)
 
 @query(
     "RT7_two_level_fusion",
-    f"""WITH {BM25}{COVERAGE}{FUSED},
+    f"""WITH {BM25}{DENSE}{FUSED},
 up AS (SELECT company_id, evidence_id, round(sum(1.0 / (60 + rank)), 9) AS s FROM fused GROUP BY ALL)
 SELECT company_id, evidence_id, round(s, 6) AS rrf_score, CAST(row_number() OVER (PARTITION BY company_id ORDER BY s DESC, evidence_id) AS INTEGER) AS rank FROM up""",
 )
@@ -124,7 +127,7 @@ def rt7(spark, sf_dir):
     return R.ranked(s, ["company_id"], "s", "evidence_id").select("company_id", "evidence_id", F.round("s", 6).alias("rrf_score"), "rank")
 
 
-@query("TK1_global_top_k", f"WITH {BM25}{COVERAGE}{FUSED} SELECT query_id, company_id, evidence_id, rank FROM fused WHERE rank <= 10")
+@query("TK1_global_top_k", f"WITH {BM25}{DENSE}{FUSED} SELECT query_id, company_id, evidence_id, rank FROM fused WHERE rank <= 10")
 def tk1(spark, sf_dir):
     return fuse(spark, sf_dir).where("rank <= 10").select("query_id", "company_id", "evidence_id", "rank")
 

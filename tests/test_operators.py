@@ -50,6 +50,19 @@ def test_bm25_against_python(spark):
     assert all(abs(r["score"] - want[r["evidence_id"]]) < 1e-6 for r in rows)
 
 
+def test_bm25_small_and_large_query_side(spark, monkeypatch):
+    """Tables in every task and joins give the same lists; null texts and pools without any shared term too."""
+    rnd = random.Random(5)
+    text = lambda: " ".join(rnd.choice("abcdefghij") * 2 for _ in range(rnd.randint(0, 12)))
+    cards = spark.createDataFrame([(f"p{i % 3}", f"e{i:03d}", text() if i % 17 else None) for i in range(120)] + [("q", "z", "none")], "pool string, evidence_id string, text string")
+    q = spark.createDataFrame([(i, text()) for i in range(8)] + [(9, "")], "query_id long, text string")
+    monkeypatch.setattr(R, "SCORE_CELLS", 100)
+    small = sorted(map(tuple, R.rank_bm25(cards, q, "pool", 5).select("query_id", "pool", "evidence_id", "rank").collect()))
+    large = sorted(map(tuple, R.rank_bm25_joined(cards, q, "pool", 5).select("query_id", "pool", "evidence_id", "rank").collect()))
+    assert small == large and len(small) == 9 * (3 * 5 + 1)
+    assert R.rank_bm25(cards.limit(0), q, "pool", 5).count() == R.rank_bm25(cards, q.limit(0), "pool", 5).count() == 0
+
+
 def test_dense(spark):
     pool = spark.createDataFrame([("a", 1, [2.0, 0.0]), ("b", 1, [0.0, 1.0])], "id string, k int, vector array<float>")
     q = spark.createDataFrame([(1, 1, [1.0, 0.0])], "query_id int, k int, query_vector array<float>")
