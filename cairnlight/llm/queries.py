@@ -89,6 +89,63 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), path)
 
 
+def base1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: sizes, and that the shards' row counts are at most one apart."""
+    out = op1_hilbert_sharding(spark, sf_dir)
+    shards = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"))
+    law = shards.agg((F.max("n") - F.min("n") <= 1).alias("even"), F.bool_and(F.col("last") + 1 == F.col("n")).alias("gapless"))
+    # One row.
+    return out.select("doc_id", "size", "law").crossJoin(F.broadcast(law))
+
+
+def base2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: host, path and rule."""
+    return op2_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def base4_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: all but the method's verdict."""
+    return op4_quality_rules(spark, sf_dir).drop("kept", "score")
+
+
+def base8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: numbers of base spans."""
+    return op8_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_BASE1_SQL = "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, 'rows' AS law, true AS even, true AS gapless FROM documents"
+
+_BASE2_SQL = f"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages
+), r AS (SELECT rule, split_part(rule, '/', 1) AS own, substring(rule, instr(rule, '/')) AS prefix FROM (VALUES {", ".join(f"('{t}')" for _, t in URL_RULES)}) v(rule))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
+       (SELECT max_by(rule, length(rule)) FROM r WHERE (u.host = own OR ends_with(u.host, '.' || own)) AND starts_with(u.path, prefix)) AS rule
+FROM u
+"""
+
+_BASE4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+       CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+       CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)
+"""
+
+_BASE8_SQL = r"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+FROM documents
+"""
+
 _OP6_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -127,6 +184,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scans": op10_license_scans,
+    "base1_sizes": base1_sizes,
+    "base2_rules": base2_rules,
+    "base4_figures": base4_figures,
+    "base8_counts": base8_counts,
 }
 
-ORACLES: dict[str, str] = {"op6_benchmark_decontamination": _OP6_SQL}
+ORACLES: dict[str, str] = {
+    "op6_benchmark_decontamination": _OP6_SQL,
+    "base1_sizes": _BASE1_SQL,
+    "base2_rules": _BASE2_SQL,
+    "base4_figures": _BASE4_SQL,
+    "base8_counts": _BASE8_SQL,
+}

@@ -320,14 +320,17 @@ def test_viterbi():
 # 6
 
 
-def test_op6_sql(spark):
-    got = queries.QUERIES["op6_benchmark_decontamination"](spark, SF).toPandas()
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF).toPandas()
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    want = c.execute(queries.ORACLES["op6_benchmark_decontamination"]).df()
+    want = c.execute(queries.ORACLES[name]).df()
     cols = sorted(want.columns)
-    assert sorted(map(tuple, got[cols].values.tolist())) == sorted(map(tuple, want[cols].values.tolist())) and got.contaminated.any()
+    assert cols == sorted(got.columns) and len(got)
+    plain = lambda x: sorted(repr([None if v is None or v != v else str(v) for v in r]) for r in x[cols].values.tolist())
+    assert plain(got) == plain(want)
 
 
 def test_op6_brute_force_and_blocks(spark, edge):
