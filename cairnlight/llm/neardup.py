@@ -18,8 +18,10 @@ SHINGLE, SKETCHES, TAKEN = 5, 40, 2
 CELLS = 1_000_000
 #: Largest bucket whose pairs are rows; a larger one is dealt out in blocks of about ``BLOCK`` texts.
 CROWD, BLOCK = 32, 128
-#: Counters of a text's bag of hashed words.
-BAG = 256
+#: Rows of blocks that one call of Python takes, on average.
+LOT = 2_000
+#: Counters of a text's bag of hashed words, and of the texts that have a hashed word.
+BAG, COUNTERS = 256, 1 << 21
 #: Least similarity: 1 - word edit distance / words of the longer text.
 LEAST = 0.8
 
@@ -117,8 +119,8 @@ def near_duplicates(
     that have it, and ``keep`` is true for one row of each class.
 
     All members of a bucket are compared with its smallest node. Where more than one component is left, every pair of
-    members of different components is compared too: as rows in a bucket of at most ``CROWD``, in blocks in a larger
-    one (``_crowded``). No candidate is dropped.
+    members of different components is compared too: as rows in a bucket of at most ``CROWD``; texts of larger ones are
+    looked up by their rarest words (``_crowded``). No candidate is dropped.
     A null text is a class of its own; empty texts are copies of each other; null ids come after all others.
     """
     rows = tagged(docs, id_col, text_col)
@@ -167,9 +169,9 @@ def near_duplicates(
     pairs = few.join(others, "bucket").where((F.col("node") > F.col("v")) & (F.col("comp") != F.col("vc")) & alike("n", "vn"))
     pairs = pairs.select(F.col("node").alias("u"), "v")
     edges, comp = _grown(edges, comp, verified(pairs.distinct(), texts, least))
-    many = left.where(F.col("size") > CROWD).select("bucket", "sketch", "node", "n")
+    many = left.where(F.col("size") > CROWD).select("node", "n").distinct()
     if not many.isEmpty():
-        edges, comp = _grown(edges, comp, _crowded(many, comp, nodes.select("node", "keys"), texts, least))
+        edges, comp = _grown(edges, comp, _crowded(many, comp, texts, least))
 
     named = materialize(nodes.join(comp, "node", "left").select("node", "first", "n_copies", F.coalesce("comp", "node").alias("comp")))
     classes = named.groupBy("comp").agg(F.min("first").alias("head"), F.sum("n_copies").alias("class_size"), F.count("*").alias("members"))
@@ -202,15 +204,66 @@ def word_bag(words: list[bytes]) -> bytes:
     return np.minimum(np.bincount(h, minlength=BAG), 65_535).astype("<u2").tobytes()
 
 
-def _crowded(many: DataFrame, comp: DataFrame, keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Edges (u, v) that join the components of crowded buckets; ``many`` has (bucket, sketch, node, n).
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(13)).astype(np.int64) % COUNTERS
 
-    Members outside a bucket's largest component are dealt into blocks, and so are those inside; each of the former
-    blocks meets all blocks. A pair is left to the first sketch that its texts share, and is aligned unless it is
+
+def _word_counts(texts: DataFrame) -> np.ndarray:
+    """For each of ``COUNTERS`` cells the number of texts with a numbered word in it: four bytes each, whatever the input.
+
+    A task sends its counts as 64 parts, which are added part by part.
+    """
+
+    def count(batches):
+        seen = np.zeros(COUNTERS, "<i4")
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                seen[_cells(shingle_hashes(text.split(), 1))] += 1
+        yield pa.RecordBatch.from_pydict({"part": range(64), "counts": [x.tobytes() for x in np.split(seen, 64)]}, schema=_COUNTS)
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, "<i4") for x in group["counts"].to_pylist()], axis=0, dtype="<i4")
+        return pa.Table.from_pydict({"part": [group["part"][0].as_py()], "counts": [total.tobytes()]}, schema=_COUNTS)
+
+    parts = texts.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary")
+    return np.frombuffer(b"".join(bytes(r["counts"]) for r in sorted(parts.collect())), "<i4")
+
+
+def rarest(words: list[bytes], counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest numbered words of a text, one more than the edits it may take, sorted by value.
+
+    Each edit takes away one word at most. So two texts within the bound share so many numbered words that, in any one
+    order of all words, a shared one is among the first ``edits + 1`` of both. A word that no other text has is left out.
+    """
+    tokens = shingle_hashes(words, 1)
+    seen = counts[_cells(tokens)]
+    first = np.lexsort((tokens, seen))[: int(len(words) * (1 - least) + 1e-9) + 1]
+    return np.sort(tokens[first[seen[first] > 1]].view(np.int64))
+
+
+def _crowded(many: DataFrame, comp: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) that join the components of all similar texts among ``many``, with (node, n), from crowded buckets.
+
+    A text goes to each of its rarest words, so a passage that all share brings none of them together. Of a word with
+    several components, members outside the largest are dealt into blocks, and so are those inside; each of the former
+    blocks meets all blocks. A pair is left to the smallest word that its texts share, and is aligned unless it is
     in one component already or the word bags alone rule it out, so the result is that of all pairs. Rows grow with
-    the square of a group over ``BLOCK``, and a pair of blocks gives fewer edges than it has texts.
+    the square of the texts over ``BLOCK`` only where the rarest words of many unlike texts are the same. A pair of
+    blocks gives fewer edges than it has texts.
     """
-    own = many.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    marked = materialize(texts.join(many, "node"))
+    counts = marked.sparkSession.sparkContext.broadcast(_word_counts(marked))
+
+    def mark_task():
+        def per_row(node, text):
+            words = text.split()
+            return node, word_bag(words), rarest(words, counts.value, least).tolist()
+
+        return per_row
+
+    bags = materialize(map_rows(marked.select("node", "text"), mark_task, "node binary, bag binary, keys array<long>", binary=["text"]))
+    own = bags.select("node", F.explode("keys").alias("bucket")).join(many, "node")
+    own = materialize(own.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     sizes = own.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"))
     sizes = sizes.where(F.col("size") > F.col("main.k")).select(
@@ -224,32 +277,32 @@ def _crowded(many: DataFrame, comp: DataFrame, keys: DataFrame, texts: DataFrame
     own = own.join(sizes, "bucket").withColumn("own", F.when(inside, F.col("outer") + F.pmod(salt, "inner")).otherwise(F.pmod(salt, "outer")).cast("int"))
     last = F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
-        "bucket", "sketch", "node", "n", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        "bucket", "node", "n", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
-    def bag_task():
-        return lambda node, text: (node, word_bag(text.split()))
-
-    marked = texts.join(own.select("node").distinct(), "node")
-    bags = materialize(map_rows(marked, bag_task, "node binary, bag binary", binary=["text"]).join(keys, "node"))
-
     def candidates(group: pa.Table) -> pa.Table:
         node, home = group["node"].to_pylist(), np.array(group["own"])
-        n, sketch = np.array(group["n"], np.int64), group["sketch"][0].as_py()
+        n, word = np.array(group["n"], np.int64), np.array(group["bucket"], np.int64)
+        low, high = np.array(group["i"]), np.array(group["j"])
         names = {c: k for k, c in enumerate(dict.fromkeys(group["comp"].to_pylist()))}
         of = np.array([names[c] for c in group["comp"].to_pylist()])
         bag = np.frombuffer(b"".join(group["bag"].to_pylist()), "<u2").reshape(len(node), BAG).astype(np.int32)
-        key = np.array(group["keys"].to_pylist(), np.int64)
-        lower, upper = group["i"][0].as_py(), group["j"][0].as_py()
-        right, found = np.flatnonzero(home == upper), []
-        for u in np.flatnonzero(home == lower):
-            v = right[right > u] if lower == upper else right
-            v = v[(of[v] != of[u]) & (np.minimum(n[v], n[u]) >= np.maximum(n[v], n[u]) * least - 1e-9)]
-            v = v[~(key[v, :sketch] == key[u, :sketch]).any(axis=1)]
-            apart = bag[v] - bag[u]
-            edits = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
-            fits = edits <= (np.maximum(n[v], n[u]) * (1 - least) + 1e-9).astype(np.int64)
-            found += zip(edits[fits].tolist(), [int(u)] * int(fits.sum()), v[fits].tolist(), strict=True)
+        key = [np.array(x, np.int64) for x in group["keys"].to_pylist()]
+        order, found = np.lexsort((high, low, word)), []
+        new = np.any([x[order][1:] != x[order][:-1] for x in (word, low, high)], axis=0)
+        for met in np.split(order, np.flatnonzero(new) + 1):
+            lower, upper = low[met[0]], high[met[0]]
+            right = met[home[met] == upper]
+            for place, u in enumerate(met[home[met] == lower]):
+                v = right[place + 1 :] if lower == upper else right
+                v = v[(of[v] != of[u]) & (np.minimum(n[v], n[u]) >= np.maximum(n[v], n[u]) * least - 1e-9)]
+                if not len(v):
+                    continue
+                apart = bag[v] - bag[u]
+                edits = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+                fits = edits <= (np.maximum(n[v], n[u]) * (1 - least) + 1e-9).astype(np.int64)
+                near = zip(edits[fits].tolist(), v[fits].tolist(), strict=True)
+                found += [(e, int(u), x) for e, x in near if np.intersect1d(key[u], key[x], assume_unique=True)[0] == word[u]]
         # The nearest first: each that aligns spares the pairs that it makes one component.
         found.sort()
         used = sorted({x for _, u, v in found for x in (u, v)})
@@ -258,7 +311,9 @@ def _crowded(many: DataFrame, comp: DataFrame, keys: DataFrame, texts: DataFrame
         members = [{"node": node[x], "comp": int(of[x])} for x in used]
         return pa.Table.from_pydict({"members": [members] if used else [], "pairs": [flat] if used else []}, schema=_CANDIDATES)
 
-    close = dealt.join(bags, "node").groupBy("bucket", "i", "j").applyInArrow(candidates, "members array<struct<node:binary,comp:int>>, pairs array<int>")
+    dealt = materialize(dealt)
+    lot = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(dealt.count() // LOT + 1)).alias("lot")
+    close = dealt.join(bags, "node").groupBy(lot).applyInArrow(candidates, "members array<struct<node:binary,comp:int>>, pairs array<int>")
     close = materialize(close.withColumn("task", F.monotonically_increasing_id()))
     placed = close.select("task", F.posexplode("members").alias("place", "m")).select("task", "place", "m.node", "m.comp").join(texts, "node")
     lists = close.select("task", F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("node"), F.lit(None).cast("int").alias("comp"), F.lit(None).cast("string").alias("text"), "pairs")
@@ -287,6 +342,7 @@ def _crowded(many: DataFrame, comp: DataFrame, keys: DataFrame, texts: DataFrame
     return both.groupBy("task").applyInArrow(align, "u binary, v binary")
 
 
+_COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 _CANDIDATES = pa.schema([("members", pa.list_(pa.struct([("node", pa.binary()), ("comp", pa.int32())]))), ("pairs", pa.list_(pa.int32()))])
 _EDGES = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
