@@ -117,6 +117,19 @@ def map_rows(df: DataFrame, row_fn: Callable[[], Callable[..., tuple]], schema:
     return df.mapInArrow(run, out_type)
 
 
+def slices(data: bytes, sep: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """Parts of about ``size`` bytes, each cut after a ``sep``; longer only where no ``sep`` occurs."""
+    start = 0
+    while start < len(data):
+        end = start + size
+        if end < len(data):
+            cut = data.rfind(sep, start, end)
+            cut = data.find(sep, end) if cut < 0 else cut
+            end = cut + 1 if cut >= 0 else len(data)
+        yield data[start:end]
+        start = end
+
+
 def id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm import decontam, fuzzydup, langid, licenses, neardup, packing, quality, secretscan, sharding, urlfilter
+from cairnlight.llm import decontam, divergence, fuzzydup, langid, licenses, neardup, packing, phrases, quality, secretscan, sharding, tokencount, urlfilter
 from cairnlight.llm.common import table
 
 
@@ -89,6 +89,18 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), path)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def base1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: sizes, and that the shards' row counts are at most one apart."""
     out = op1_hilbert_sharding(spark, sf_dir)
@@ -173,6 +185,63 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(cover.n, 0) AS B
 FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
 
+_OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM d),
+lng AS (SELECT lang, count(term) AS v, coalesce(sum(total), 0) AS size FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+full_grid AS (SELECT lang, source, term, coalesce(n, 0) AS n, total FROM grp JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+sized AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS g FROM full_grid),
+p AS (
+  SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 2) // (CAST(g AS HUGEINT) + 2 * v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (total + 2) // (CAST(size AS HUGEINT) + 2 * v) AS q
+  FROM sized JOIN lng USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+found AS (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+_OP13_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k) GROUP BY ALL
+), n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, l.f AS l, r.f AS r,
+         CAST(1000000 AS HUGEINT) * CAST(c.f AS HUGEINT) * CAST(c.f AS HUGEINT) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+gone AS (
+  SELECT DISTINCT s.lang, s.phrase FROM c s
+  JOIN (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) x
+  ON x.lang = s.lang AND x.phrase = s.phrase AND 100 * x.f >= 50 * s.f
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best ANTI JOIN gone USING (lang, phrase) JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_url_filters": op2_url_filters,
@@ -184,6 +253,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": op8_secret_scans,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_license_scans": op10_license_scans,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_token_counts": op12_token_counts,
+    "op13_phrase_collocations": op13_phrase_collocations,
     "base1_sizes": base1_sizes,
     "base2_rules": base2_rules,
     "base4_figures": base4_figures,
@@ -192,6 +264,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op6_benchmark_decontamination": _OP6_SQL,
+    "op11_source_divergence": _OP11_SQL,
+    "op13_phrase_collocations": _OP13_SQL,
     "base1_sizes": _BASE1_SQL,
     "base2_rules": _BASE2_SQL,
     "base4_figures": _BASE4_SQL,
