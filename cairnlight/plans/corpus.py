@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cairnlight.functions import text as X
 from cairnlight.operators import metrics as M
 from cairnlight.operators import sampling as S
+from cairnlight.operators.grounding import occurrences, quoted_in
 from cairnlight.plans.fixtures import CARDS, CASES, CLAIMS, cards, cases, claims, read
 from cairnlight.plans.registry import query
 
@@ -130,7 +131,7 @@ def sc16(spark, sf_dir):
     "SELECT page_id, CAST(coalesce(list_sum(list_transform(range(1, length(url) - length('th') + 2), lambda i: CAST(substring(url, CAST(i AS INTEGER), 2) = 'th' AS INTEGER))), 0) AS BIGINT) AS n FROM pages",
 )
 def sc17(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.size(X.occurrences(F.col("url"), F.lit("th"))).cast("long").alias("n"))
+    return read(spark, sf_dir, "pages").select("page_id", F.size(occurrences(F.col("url"), F.lit("th"))).cast("long").alias("n"))
 
 
 @query(
@@ -140,9 +141,7 @@ def sc17(spark, sf_dir):
 )
 def sc20(spark, sf_dir):
     """Benchmark passages as quotes, a stated query set, against all documents; only quotes with an occurrence."""
-    q = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    pairs = docs(spark, sf_dir).select("doc_id", "text").crossJoin(q)
-    return pairs.select("item_id", "doc_id", X.quote_mode(F.col("text"), F.col("quote")).alias("mode")).where("mode <> 'full_disclosure'")
+    return quoted_in(read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), docs(spark, sf_dir), "item_id", "quote", "doc_id", "text")
 
 
 @query("SC10_unique_headers")
