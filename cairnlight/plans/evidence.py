@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairnlight.operators import grounding as G
+from cairnlight.operators import prompts as P
 from cairnlight.operators import validators as V
 from cairnlight.plans.corpus import docs
-from cairnlight.plans.fixtures import LABELS, read
+from cairnlight.plans.fixtures import CARDS, LABELS, cards, read
 from cairnlight.plans.registry import query
 
 # Quotes -----------------------------------------------------------------------------------------------------------
@@ -440,3 +442,77 @@ def dd6_evidence(spark, sf_dir):
     ]
     records = F.array(F.struct(label.alias("prompt_label"), F.col("text").alias("retrieval_text")))
     return disclosures(spark, sf_dir).select("case_id", errors(V.evidence_extraction(F.try_parse_json(by_kind(kinds)), records)))
+
+
+# Prompts ----------------------------------------------------------------------------------------------------------
+
+_TITLES = dict(zip(("narrative", "pdf_table_row", "csv_metric"), P.GROUP_TITLES, strict=True))
+_ASK = "Describe the year."
+_PROMPTS = 12
+
+
+def recorded_prompts(spark, sf_dir):
+    """A prompt for every eight documents, with their whole texts; its number decides what is wrong with it, if anything."""
+    number = F.row_number().over(Window.partitionBy("case_id").orderBy("rank", "doc_id"))
+    kinds = F.array(*map(F.lit, _TITLES))
+    c = cards(spark, sf_dir).select(
+        F.floor(F.col("doc_id") / 8).alias("case_id"),
+        "doc_id",
+        "evidence_id",
+        "source_type",
+        F.array_position(kinds, F.col("source_type")).alias("rank"),
+        F.concat("company_id", F.lit(" "), "source_year").alias("source_label"),
+        "text",
+    )
+    c = c.withColumn("n", number).withColumn("label", F.format_string("Evidence %02d", "n"))
+    kind = F.pmod(F.col("case_id"), F.lit(_PROMPTS))
+    label = F.when((kind == 6) & (F.col("n") == 2), "Evidence 01").otherwise(F.col("label"))
+    first = F.row_number().over(Window.partitionBy("case_id", "source_type").orderBy("n")) == 1
+    title = F.coalesce(*(F.when(F.col("source_type") == k, v) for k, v in _TITLES.items()))
+    title = F.when((kind == 4) & (F.col("n") == 1), "Other Evidence").when((kind == 5) & (F.col("n") == 1), "").otherwise(title)
+    gap = F.when(F.col("n") == 1, title).when(first, F.concat(F.lit(f"\n\n{P.RULE}\n\n"), title)).otherwise("")
+    text = F.when((kind == 2) & (F.col("n") == 1), F.concat(F.lit("Changed. "), "text")).otherwise(F.col("text"))
+    c = c.withColumn("label", label).withColumn("written", F.concat(gap, F.lit("\n\n"), P.block(F.col("label"), F.col("source_label"), text)))
+    card = F.struct(
+        F.when((kind == 7) & (F.col("n") == 2), "doc::same").when((kind == 7) & (F.col("n") == 1), "doc::same").otherwise(F.col("evidence_id")).alias("evidence_id"),
+        F.col("label").alias("prompt_label"),
+        "source_label",
+        F.col("text").alias("retrieval_text"),
+        F.when((kind == 8) & (F.col("n") == 1), "0").otherwise(F.sha2("text", 256)).alias("retrieval_text_hash"),
+        (kind != 9).alias("shown_in_prompt"),
+    )
+    g = c.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("n", card.alias("card"), "written"))).alias("a"), F.max("n").alias("n"))
+    written, given = F.col("a.written"), F.col("a.card")
+    body = F.array_join(F.when(kind == 10, F.array_except(written, F.slice(written, -1, 1))).otherwise(written), "")
+    given = F.when(kind == 1, F.reverse(given)).otherwise(given)
+    prompt = F.concat(F.lit(f"Instruction\n\n{_ASK}{P.DELIMITER}"), F.when(kind == 9, "").otherwise(body), F.when(kind == 3, "\n\nNote.").otherwise(""))
+    return g.select("case_id", F.when(kind == 11, F.replace(prompt, F.lit("Evidence\n\n"), F.lit("Cards\n\n"))).otherwise(prompt).alias("prompt"), given.alias("cards"))
+
+
+@query(
+    "SC24_FIL10_prompts",
+    f"""WITH c AS (SELECT doc_id // 8 AS case_id, count(*) AS n FROM documents GROUP BY ALL)
+SELECT case_id, CASE case_id % {_PROMPTS} WHEN 0 THEN '' WHEN 1 THEN CASE WHEN n > 1 THEN 'absent,unmapped' ELSE '' END WHEN 2 THEN CASE WHEN n > 1 THEN 'absent,unmapped' ELSE 'absent,residue' END WHEN 3 THEN 'residue'
+  WHEN 4 THEN 'unmapped' WHEN 5 THEN 'no_group' WHEN 6 THEN CASE WHEN n > 1 THEN 'duplicate_label' ELSE '' END WHEN 7 THEN CASE WHEN n > 1 THEN 'duplicate_id' ELSE '' END
+  WHEN 8 THEN 'hash' WHEN 9 THEN 'no_evidence' WHEN 10 THEN 'absent' ELSE 'layout' END AS rules FROM c""",
+)
+def sc24(spark, sf_dir):
+    """The rules that each recorded prompt breaks, by name."""
+    e = P.parsed(F.col("prompt"), F.lit(_ASK), F.col("cards"))["errors"]
+    rules = F.array_sort(F.array_distinct(F.transform(e, lambda x: F.substring_index(x, ":", 1))))
+    return recorded_prompts(spark, sf_dir).select("case_id", F.array_join(rules, ",").alias("rules"))
+
+
+@query(
+    "SC24_prompt_places",
+    f"""WITH {CARDS}, c AS (SELECT doc_id // 8 AS case_id, doc_id, source_type, text, company_id || ' ' || source_year AS label, CASE source_type WHEN 'narrative' THEN 1 WHEN 'pdf_table_row' THEN 2 ELSE 3 END AS rank FROM cards WHERE doc_id // 8 % {_PROMPTS} = 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rank, doc_id) AS n, row_number() OVER (PARTITION BY case_id, rank ORDER BY doc_id) AS k, length('Evidence 01' || E'\\n\\nSource:\\n' || label || E'\\n\\nText:\\n' || text) AS size,
+  length(CASE rank WHEN 1 THEN 'PDF Narrative Evidence' WHEN 2 THEN 'PDF Table Row Evidence' ELSE 'CSV Metric Evidence' END) AS title FROM c),
+p AS (SELECT *, CASE WHEN n = 1 THEN title WHEN k = 1 THEN 54 + title ELSE 0 END + 2 AS gap FROM b)
+SELECT case_id, n - 1 AS card, CAST(sum(gap + size) OVER (PARTITION BY case_id ORDER BY n) - size AS INTEGER) AS start, length(CASE rank WHEN 1 THEN 'PDF Narrative Evidence' WHEN 2 THEN 'PDF Table Row Evidence' ELSE 'CSV Metric Evidence' END) + 2 + size AS context_chars FROM p""",
+)
+def sc24_places(spark, sf_dir):
+    """Places of the cards in the prompts without faults, and the length of their contexts."""
+    r = recorded_prompts(spark, sf_dir).where(F.col("case_id") % _PROMPTS == 0).select("case_id", P.parsed(F.col("prompt"), F.lit(_ASK), F.col("cards")).alias("p"))
+    each = r.select("case_id", F.posexplode(F.arrays_zip("p.starts", "p.contexts")).alias("card", "x"))
+    return each.select("case_id", F.col("card").cast("long").alias("card"), F.col("x.starts").alias("start"), F.length("x.contexts").cast("long").alias("context_chars"))
