@@ -30,7 +30,7 @@ SUBSUMED_PERCENT = 50
 TOP = 2000
 SCALE = 1_000_000
 #: Words of a shard's automaton.
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 20
 #: Bits of the filter of frequent pairs, which every task gets: 8 MB at any size of the corpus.
 FILTER_BITS = 1 << 26
 
