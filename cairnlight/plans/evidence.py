@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cairnlight.operators import checks as C
 from cairnlight.operators import grounding as G
+from cairnlight.operators import metrics as M
+from cairnlight.operators import patches as K
 from cairnlight.operators import prompts as P
+from cairnlight.operators import sampling as S
 from cairnlight.operators import validators as V
 from cairnlight.plans.corpus import docs
-from cairnlight.plans.fixtures import CARDS, LABELS, cards, read
+from cairnlight.plans.fixtures import CARDS, CASES, CLAIMS, LABELS, TYPES, cards, cases, claims, inventory, read
 from cairnlight.plans.registry import query
 
 # Quotes -----------------------------------------------------------------------------------------------------------
@@ -516,3 +520,318 @@ def sc24_places(spark, sf_dir):
     r = recorded_prompts(spark, sf_dir).where(F.col("case_id") % _PROMPTS == 0).select("case_id", P.parsed(F.col("prompt"), F.lit(_ASK), F.col("cards")).alias("p"))
     each = r.select("case_id", F.posexplode(F.arrays_zip("p.starts", "p.contexts")).alias("card", "x"))
     return each.select("case_id", F.col("card").cast("long").alias("card"), F.col("x.starts").alias("start"), F.length("x.contexts").cast("long").alias("context_chars"))
+
+
+# Patches ----------------------------------------------------------------------------------------------------------
+#
+# The claims of an order are one for each of its lines, in order.
+
+
+def _claim(text, quotes=None, unresolved=None):
+    """A claim with its quotes and what is unresolved; its type is that of the operators."""
+    none = F.array().cast("array<string>")
+    return F.struct(text.alias("claim_text"), (none if quotes is None else quotes).alias("source_quotes"), (none if unresolved is None else unresolved).alias("unresolved_context"))
+
+
+def order_claims(spark, sf_dir):
+    part, supplier = F.concat(F.lit("part "), "l_partkey"), F.concat(F.lit("supplier "), "l_suppkey")
+    said = F.concat(F.lit("The order has \""), part, F.lit("\" of "), supplier, F.lit("."))
+    unresolved = F.when(F.col("l_returnflag") == "R", F.array(F.lit("return date"))).otherwise(F.array().cast("array<string>"))
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), _claim(said, F.array(part), unresolved).alias("claim"))
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.array_sort(F.collect_list(line)).alias("a"))
+    source = F.concat(F.lit("Lines: "), F.array_join(F.transform("a", lambda x: F.concat(F.lit("part "), x["p"])), ", "), F.lit("."))
+    return rows.select("case_id", F.col("a.claim").cast(K.CLAIMS).alias("claims"), source.alias("source"))
+
+
+def _reference(ids, claims, k, text=None):
+    return F.struct(F.get(ids, F.lit(k)).alias("claim_id"), (F.get(claims, F.lit(k))["claim_text"] if text is None else F.lit(text)).alias("expected_claim_text"))
+
+
+def _edit(claims, *references):
+    return F.struct(F.array(*references).alias("replaces"), claims.alias("claims"))
+
+
+_LINES = """lines AS (SELECT l_orderkey AS case_id, list('The order has "part ' || l_partkey || '" of supplier ' || l_suppkey || '.' ORDER BY l_linenumber, l_partkey, l_suppkey) AS c FROM lineitem GROUP BY ALL)"""
+_PATCHES = ["''", "''", "'unknown_id'", "'text_differs'", "'no_or_repeated_reference'", "'edited_twice'", "'empty_claim'", "'no_or_repeated_reference'"]
+
+
+def _kinds_of_edits(ids, claims):
+    """Replacement of a claim by two, none, and one broken rule each."""
+    ref = lambda k=0, text=None: _reference(ids, claims, k, text)
+    new = F.array(_claim(F.lit("New one.")), _claim(F.lit("New two."))).cast(K.CLAIMS)
+    none = F.array().cast(K.EDITS)
+    foreign = F.struct(F.lit("claim_0").alias("claim_id"), F.lit("x").alias("expected_claim_text"))
+    return [
+        F.array(_edit(new, ref())),
+        none,
+        F.array(_edit(new, foreign)),
+        F.array(_edit(new, ref(0, "Something else."))),
+        F.array(_edit(new, ref(), ref())),
+        F.array(_edit(new, ref()), _edit(new, ref())),
+        F.array(_edit(F.array(_claim(F.lit(" "))).cast(K.CLAIMS), ref())),
+        F.array(_edit(new).cast(K.EDITS.elementType)),
+    ]
+
+
+@query(
+    "SC26_SC27_patches",
+    f"""WITH {_LINES} SELECT case_id, {expected(_PATCHES)} AS errors, CASE case_id % {len(_PATCHES)} WHEN 0 THEN array_to_string(list_concat(list_concat(['New one.', 'New two.'], c[2:]), ['Added.']), '|')
+  WHEN 1 THEN array_to_string(list_concat(c, ['Added.']), '|') END AS claims FROM lines""",
+)
+def sc26(spark, sf_dir):
+    """Patches by content ids; claims after those that break no rule."""
+    rows = order_claims(spark, sf_dir).withColumn("ids", K.claim_ids(F.lit("disclosure"), F.col("claims")))
+    edits = by_kind([e.cast(K.EDITS) for e in _kinds_of_edits(F.col("ids"), F.col("claims"))])
+    added = F.array(_claim(F.lit("Added."))).cast(K.CLAIMS)
+    p = rows.select("case_id", K.patched(F.lit("disclosure"), F.col("claims"), edits, added).alias("p"))
+    return p.select("case_id", errors(F.col("p.errors")), F.array_join("p.claims.claim_text", "|").alias("claims"))
+
+
+_REPLAYS = ["''", "'2: differs; 3: draft'", "'2: lineage'", "'3: settings'", "'2: unknown_id; 2: differs'", "'3: incomplete'", "'3: draft'", "'1: incomplete'"]
+
+
+def staged_calls(spark, sf_dir):
+    """Three stages of each order: claims of its lines, the first replaced, one added; the number decides what is wrong."""
+    kind = F.pmod(F.col("case_id"), F.lit(len(_REPLAYS)))
+    new, added = _claim(F.lit("New one.")), F.array(_claim(F.lit("Added."))).cast(K.CLAIMS)
+    none, no_edits = F.array().cast(K.CLAIMS), F.array().cast(K.EDITS)
+    first = F.col("claims")
+    second = F.concat(F.array(new).cast(K.CLAIMS), F.slice(first, F.lit(2), F.greatest(F.size(first) - 1, F.lit(0))))
+    id_ = F.when(kind == 4, "claim_0").otherwise(F.get(K.claim_ids(F.lit("disclosure"), first), F.lit(0)))
+    edit = F.struct(F.array(F.struct(id_.alias("claim_id"), F.get(first, F.lit(0))["claim_text"].alias("expected_claim_text"))).alias("replaces"), F.array(new).alias("claims"))
+    stored = F.when(kind == 1, F.concat(second, added)).otherwise(second)
+    call = lambda k: F.concat(F.lit(f"call{k}_"), F.col("case_id"))
+
+    def stage(k, draft, edits, additions, canonical, wrong):
+        return F.struct(
+            F.lit(k).alias("stage"),
+            call(k).alias("call_id"),
+            (F.lit(None) if k == 1 else F.when(wrong == "lineage", "other").otherwise(call(k - 1))).cast("string").alias("draft_call_id"),
+            F.when(wrong == "settings", "b").otherwise("a").alias("settings"),
+            F.lit("success").alias("call_status"),
+            F.when(wrong == "incomplete", "cut").otherwise("completed").alias("provider_status"),
+            draft.alias("draft"),
+            edits.alias("edits"),
+            additions.alias("additions"),
+            canonical.alias("canonical"),
+        ).cast(K.STAGE)
+
+    fault = lambda **at: F.coalesce(*(F.when(kind == k, F.lit(rule)) for rule, k in at.items()), F.lit(""))
+    third = F.concat(second, added)
+    last_draft = F.when(kind == 6, first).otherwise(second)
+    stages = F.array(
+        stage(1, F.lit(None).cast(K.CLAIMS), no_edits, none, first, fault(incomplete=7)),
+        stage(2, first, F.array(edit), none, stored, fault(lineage=2)),
+        stage(3, last_draft, no_edits, F.when(kind == 1, none).otherwise(added), third, fault(settings=3, incomplete=5)),
+    )
+    return order_claims(spark, sf_dir).select("case_id", F.lit("disclosure").alias("label"), F.inline(stages))
+
+
+@query("DD9_replay", f"WITH {_LINES} SELECT case_id, 3 AS stages, {expected(_REPLAYS)} AS errors, len(c) + 1 AS claims FROM lines")
+def dd9(spark, sf_dir):
+    """Stages of all orders, rows in any order, replayed and compared with what was stored."""
+    r = K.replay(staged_calls(spark, sf_dir), ["case_id"], "label")
+    return r.select("case_id", "stages", errors(F.col("errors")), F.size("claims").cast("long").alias("claims"))
+
+
+_AUDITS = ["''", "''", "'only_baseline'", "'only_revised'", "'source'", "'settings'", "'unsuccessful'", "'no_uncertainty'"]
+
+
+@query(
+    "DD10_baseline_audit",
+    f"""WITH l AS (SELECT l_orderkey AS case_id, l_returnflag = 'R' AS open, l_partkey || '|' || l_suppkey || '|' || (l_returnflag = 'R') AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+s AS (SELECT case_id, case_id % {len(_AUDITS)} AS kind, count(*) AS n, count(*) FILTER (open) AS open, count(*) FILTER (open AND n = 1) AS first_open FROM l GROUP BY ALL),
+f AS (SELECT s.*, CASE WHEN kind = 2 THEN 0 ELSE n END AS r, CASE WHEN kind = 3 THEN 0 ELSE n END AS b FROM s)
+SELECT case_id, CAST(b AS INTEGER) AS baseline_claims, CAST(r AS INTEGER) AS revised_claims, CAST(b AS INTEGER) AS baseline_exact,
+  CAST(CASE kind WHEN 1 THEN r - 1 WHEN 4 THEN 0 ELSE r END AS INTEGER) AS revised_exact,
+  CAST(CASE kind WHEN 1 THEN open - first_open WHEN 2 THEN 0 WHEN 7 THEN 0 ELSE open END AS INTEGER) AS revised_unresolved,
+  CAST(CASE kind WHEN 1 THEN 1 WHEN 2 THEN n WHEN 7 THEN n ELSE 0 END AS INTEGER) AS removed, CAST(CASE kind WHEN 1 THEN 1 WHEN 3 THEN n WHEN 7 THEN n ELSE 0 END AS INTEGER) AS added, {expected(_AUDITS)} AS errors FROM f""",
+)
+def dd10(spark, sf_dir):
+    """Baseline against a revision in which some first claims are new, units or sources are missing or changed."""
+    kind = F.pmod(F.col("case_id"), F.lit(len(_AUDITS)))
+    c = F.col("claims")
+    new = F.concat(F.array(_claim(F.lit("New."), F.array(F.lit("nowhere")))).cast(K.CLAIMS), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))))
+    bare = F.transform(c, lambda x: F.struct(x["claim_text"].alias("claim_text"), x["source_quotes"].alias("source_quotes"), F.lit(None).cast("array<string>").alias("unresolved_context")))
+    rows = order_claims(spark, sf_dir).withColumns({"settings": F.lit("a"), "call_status": F.lit("success")})
+    revised = rows.where(kind != 2).withColumns(
+        {
+            "claims": F.when(kind == 1, new).when(kind == 7, bare).otherwise(c),
+            "source": F.when(kind == 4, "Another text.").otherwise(F.col("source")),
+            "settings": F.when(kind == 5, "b").otherwise(F.col("settings")),
+            "call_status": F.when(kind == 6, "error").otherwise(F.col("call_status")),
+        }
+    )
+    out = K.compared(rows.where(kind != 3), revised, ["case_id"])
+    return out.withColumn("errors", F.array_join("errors", "; "))
+
+
+# Streams and quotas -------------------------------------------------------------------------------------------------
+
+
+@query("SM7_named_streams")
+def sm7(spark, sf_dir):
+    """Up to two paragraphs of every document, by the stream of seed, document and kind; tests compare it with Python's generator."""
+    blocks = G.paragraph_spans(docs(spark, sf_dir), "doc_id", "text")
+    key = S.stream_key(20260916, F.col("doc_id").cast("string"), F.lit("dc_source_audit"))
+    return S.stream_sample(blocks, ["doc_id"], ["start"], key, 2).select("doc_id", "ref", "place", "population", "probability")
+
+
+_TOTALS = f"{CLAIMS}, n AS (SELECT label, count(*) AS n FROM claims WHERE label IS NOT NULL GROUP BY ALL)"
+
+
+def label_counts(spark, sf_dir):
+    """Counts of the labels with their places in the order of the reports."""
+    n = claims(spark, sf_dir).where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.array_position(F.array(*map(F.lit, LABELS)), F.col("label")).cast("int"))
+
+
+@query(
+    "SM10_floor_one_sample",
+    f"""WITH {_TOTALS}, i AS (SELECT label, n, 100.0 * n / sum(n) OVER () AS x, list_position([{", ".join(f"'{x}'" for x in LABELS)}], label) AS k FROM n),
+q AS (SELECT *, greatest(1, floor(x)) AS q FROM i), m AS (SELECT *, 100 - sum(q) OVER () AS missing, row_number() OVER (ORDER BY x - q DESC, k) AS r FROM q),
+quota AS (SELECT label, q + CASE WHEN r <= missing THEN 1 ELSE 0 END AS quota FROM m),
+drawn AS (SELECT label, dc_id, row_number() OVER (PARTITION BY label ORDER BY sha256('20260916|' || case_id || '|' || dc_id), dc_id) AS place FROM claims WHERE label IS NOT NULL)
+SELECT label, dc_id, CAST(place AS INTEGER) AS place, CAST(quota AS BIGINT) AS quota FROM drawn JOIN quota USING (label) WHERE place <= quota""",
+)
+def sm10(spark, sf_dir):
+    """A hundred unsupported claims: quotas with a floor of one, then the first claims by a seeded digest."""
+    quotas = S.floor_one_quotas(label_counts(spark, sf_dir), "label", "n", "rank", 100)
+    digest = F.sha2(F.concat_ws("|", F.lit("20260916"), F.col("case_id").cast("string"), "dc_id"), 256)
+    c = claims(spark, sf_dir).where("label is not null").select("label", "dc_id", digest.alias("h"))
+    # No quota is over the sample, so its size bounds what leaves a task.
+    w = Window.partitionBy("label").orderBy("h", "dc_id")
+    return c.withColumn("place", F.row_number().over(w)).where("place <= 100").join(quotas, "label").where("place <= quota").select("label", "dc_id", "place", "quota")
+
+
+@query("WN11_round_robin")
+def wn11(spark, sf_dir):
+    """Quotas of card types of every customer and the places drawn from its cards; tests compare them with plain Python."""
+    quotas = S.round_robin_quotas(read(spark, sf_dir, "customer").select(F.format_string("case%09d", "c_custkey").alias("case_id")), "case_id", list(TYPES), 2, 20260916)
+    pool = read(spark, sf_dir, "orders").select(F.format_string("case%09d", "o_custkey").alias("case_id"), "o_orderkey", F.element_at(F.array(*map(F.lit, TYPES)), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("kind"))
+    units = pool.join(quotas, ["case_id", "kind"])
+    sizes = units.groupBy("case_id", "kind", "quota").agg(F.count("*").alias("n"))
+    places = S.drawn_places(S.stream_key(20260916, F.col("case_id"), F.lit("cards"), F.col("kind")), F.col("n"), F.col("quota"))
+    drawn = sizes.select("case_id", "kind", "quota", "n", F.posexplode(places).alias("place", "k"))
+    numbered = units.select("case_id", "kind", "o_orderkey", (F.row_number().over(Window.partitionBy("case_id", "kind").orderBy("o_orderkey")) - 1).alias("k"))
+    return drawn.join(numbered, ["case_id", "kind", "k"]).select("case_id", "kind", "quota", F.col("n").alias("population"), (F.col("place") + 1).alias("place"), "o_orderkey")
+
+
+# Contracts ------------------------------------------------------------------------------------------------------------
+
+_OUTCOMES = ("eligible", "missing", "wrong_company", "invalid_year", "csv_year", "pdf_year", "markdown", "unknown_source", "type")
+
+
+def faulty_pool(spark, sf_dir):
+    """Every card in the package of its company; its number decides which rule it breaks, if any."""
+    c = cards(spark, sf_dir).withColumn("kind", F.pmod(F.col("doc_id"), F.lit(9)))
+    csv = F.col("source_type") == "csv_metric"
+    years = F.sequence(F.lit(2015), F.lit(2023))
+    packages = c.select(F.col("company_id").alias("case_id"), "company_id", years.alias("csv_years"), years.alias("pdf_years"), "evidence_id")
+    year = F.when(F.col("kind").isin(4, 5), "1999").when(F.col("kind") == 3, "n/a").otherwise(F.col("source_year").cast("string"))
+    rows = c.where("kind <> 1").select(
+        "evidence_id",
+        F.when(F.col("kind") == 2, "another").otherwise(F.col("company_id")).alias("company_id"),
+        F.when(F.col("kind").isin(4, 8), "csv").when(F.col("kind") == 7, "html").when(F.col("kind").isin(5, 6), "pdf").when(csv, "csv").otherwise("pdf").alias("source_type"),
+        F.when(F.col("kind") == 6, C.MARKDOWN).when(F.col("kind").isin(7, 8), "figure").when((F.col("kind") == 5) & csv, "narrative").otherwise(F.col("source_type")).alias("evidence_type"),
+        year.alias("source_year"),
+    )
+    return packages, rows
+
+
+@query("FIL4_boundary_outcomes", f"SELECT source AS case_id, list_extract([{', '.join(repr(x) for x in _OUTCOMES)}], CAST(doc_id % 9 + 1 AS INTEGER)) AS outcome, count(*) AS n FROM documents GROUP BY ALL")
+def fil4_outcomes(spark, sf_dir):
+    """Allowed cards of each company by the rule that they break."""
+    return C.boundary(*faulty_pool(spark, sf_dir)).groupBy("case_id", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("FIL4_eligible_pool", "SELECT source AS case_id, count(*) AS n FROM documents WHERE doc_id % 9 = 0 GROUP BY ALL")
+def fil4_pool(spark, sf_dir):
+    """Eligible cards where the only faults are missing references; any other raises, see the tests."""
+    packages, rows = faulty_pool(spark, sf_dir)
+    good = rows.join(cards(spark, sf_dir).where(F.pmod("doc_id", F.lit(9)) == 0).select("evidence_id"), "evidence_id", "left_semi")
+    return C.eligible_pool(packages, good).groupBy("case_id").agg(F.count("*").alias("n"))
+
+
+@query("JN1_checked_enrichment", "SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey")
+def jn1_checked(spark, sf_dir):
+    """Lines with the brand of their part; a part that repeats raises."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return C.many_to_one(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), parts, ["l_partkey"]).select("l_orderkey", "l_linenumber", "p_brand")
+
+
+@query("JN8_checked_cases", f"WITH {CLAIMS}, {CASES} SELECT sector, verdict, count(*) AS n FROM claims JOIN cases USING (case_id) GROUP BY ALL")
+def jn8_checked(spark, sf_dir):
+    """Verdicts by sector; a case that repeats, or a claim without one, raises."""
+    c = claims(spark, sf_dir).select("case_id", M.verdict(F.col("support_sets")).alias("verdict"))
+    return C.many_to_one(c, cases(spark, sf_dir), ["case_id"], complete=True).groupBy("sector", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(
+    "JN14_context_violations",
+    """WITH c AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 13 <> 5 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 13 = 7),
+n AS (SELECT k, count(*) AS n FROM c GROUP BY ALL)
+SELECT CASE WHEN n IS NULL THEN 'missing_case' WHEN n > 1 THEN 'duplicate_case' WHEN l_orderkey % 13 = 9 THEN 'case_id_differs' ELSE 'ok' END AS outcome, count(*) AS claims FROM lineitem LEFT JOIN n ON l_orderkey = k GROUP BY ALL""",
+)
+def jn14_violations(spark, sf_dir):
+    """Claims whose case is missing, repeats, or has another id than the claim says."""
+    n = F.col("o_orderkey") % 13
+    o = read(spark, sf_dir, "orders").select("o_orderkey")
+    keys = o.where(n != 5).unionByName(o.where(n == 7)).select(F.concat(F.lit("g"), "o_orderkey").alias("generation_case_id"), F.when(n == 9, "other").otherwise(F.concat(F.lit("c"), "o_orderkey")).alias("case_id"))
+    index = keys.groupBy("generation_case_id").agg(F.count("*").alias("n"), F.min("case_id").alias("case_id"))
+    lines = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("g"), "l_orderkey").alias("generation_case_id"), F.concat(F.lit("c"), "l_orderkey").alias("said"))
+    outcome = F.when(F.col("n").isNull(), "missing_case").when(F.col("n") > 1, "duplicate_case").when(F.col("said") != F.col("case_id"), "case_id_differs").otherwise("ok")
+    return lines.join(index, "generation_case_id", "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("claims"))
+
+
+_KERNEL = 17
+
+
+def kernel_tables(spark, sf_dir, faulty=True):
+    """Tables of each order's case; its number decides what is wrong with them, if anything."""
+    k = F.pmod(F.col("case_id"), F.lit(_KERNEL)) if faulty else F.lit(0)
+    every = claims(spark, sf_dir)
+    # Some line numbers repeat within an order.
+    c = every.dropDuplicates(["case_id", "dc_id"]).withColumn("k", k)
+    first = F.row_number().over(Window.partitionBy("case_id").orderBy("dc_id")) == 1
+    c = c.withColumn("first", first)
+    ec = inventory(every).withColumn("k", k)
+    dc = c.select("case_id", "dc_id")
+    own = F.array("part", "supp")
+
+    def one(ids, kind="direct"):
+        return F.array(F.struct(ids.alias("ec_claim_ids"), F.lit(kind).alias("support_type")))
+
+    at = lambda n: F.col("first") & (F.col("k") == n)
+    sets = (
+        F.when(at(7), one(F.array().cast("array<string>")))
+        .when(at(8), one(F.array("part", "part")))
+        .when(at(9), one(F.array(F.lit("foreign"))))
+        .when(at(10), one(F.array("part"), "partial"))
+        .when(at(11) | at(12), F.array().cast("array<struct<ec_claim_ids:array<string>,support_type:string>>"))
+        .otherwise(one(own, "inferred"))
+    )
+    s = c.select("case_id", "dc_id", sets.alias("support_sets"), "first", "k")
+    support = s.where(~at(5)).unionByName(s.where(at(3))).unionByName(s.where(at(6)).withColumn("dc_id", F.lit("foreign")))
+    # Of 4 and 13 the claim is supported, so that its diagnosis is one too many; of 12 the diagnosis is missing.
+    diagnosis = s.where(at(4) | at(11) | at(13)).select("case_id", "dc_id", F.when(F.col("k") == 13, "novel").otherwise(LABELS[0]).alias("label"), "k")
+    candidates = c.select("case_id", F.when(at(14), "foreign").otherwise(F.col("dc_id")).alias("dc_id"), F.when(at(15), F.array("part", "supp", "supp")).when(at(16), F.array("part")).otherwise(own).alias("candidate_ids"))
+    return ec.where("k <> 1").select("case_id", "ec_id").unionByName(ec.where("k = 2").select("case_id", "ec_id")), dc, support.drop("first", "k"), diagnosis.drop("k"), candidates
+
+
+@query(
+    "AG4_kernel_violations",
+    f"""WITH l AS (SELECT l_orderkey AS c, l_orderkey % {_KERNEL} AS k, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem),
+e AS (SELECT c, k, count(DISTINCT x) AS ecs, count(DISTINCT (p, s)) AS pairs FROM (SELECT c, k, p, s, unnest([p, s]) AS x FROM l) GROUP BY ALL), n AS (SELECT l_orderkey AS c, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL)
+SELECT c AS case_id, r.rule AS rule, CAST(r.n AS BIGINT) AS n FROM (SELECT e.*, n.n FROM e JOIN n USING (c)) x,
+LATERAL (SELECT unnest(CASE k WHEN 1 THEN [struct_pack(rule := 'no_claims', n := 1), struct_pack(rule := 'foreign_card', n := x.n), struct_pack(rule := 'foreign_candidate', n := x.n)] WHEN 2 THEN [struct_pack(rule := 'duplicate_ec', n := ecs)]
+  WHEN 3 THEN [struct_pack(rule := 'duplicate_support', n := 1)] WHEN 4 THEN [struct_pack(rule := 'diagnosis_of_supported', n := 1)] WHEN 5 THEN [struct_pack(rule := 'claim_without_support', n := 1)]
+  WHEN 6 THEN [struct_pack(rule := 'foreign_support', n := 1), struct_pack(rule := 'card_not_a_candidate', n := 1)] WHEN 7 THEN [struct_pack(rule := 'empty_set', n := 1)] WHEN 8 THEN [struct_pack(rule := 'repeated_card', n := 1)]
+  WHEN 9 THEN [struct_pack(rule := 'foreign_card', n := 1), struct_pack(rule := 'card_not_a_candidate', n := 1)] WHEN 10 THEN [struct_pack(rule := 'support_type', n := 1)]
+  WHEN 12 THEN [struct_pack(rule := 'unsupported_without_diagnosis', n := 1)] WHEN 13 THEN [struct_pack(rule := 'diagnosis_of_supported', n := 1), struct_pack(rule := 'unknown_label', n := 1)]
+  WHEN 14 THEN [struct_pack(rule := 'claims_of_candidates', n := 2), struct_pack(rule := 'card_not_a_candidate', n := 1)] WHEN 15 THEN [struct_pack(rule := 'repeated_candidate', n := 1)] WHEN 16 THEN [struct_pack(rule := 'card_not_a_candidate', n := 1)]
+  ELSE CAST([] AS STRUCT(rule VARCHAR, n BIGINT)[]) END) AS r)""",
+)
+def ag4_violations(spark, sf_dir):
+    """Rules of the case metrics that the tables of each order break."""
+    return C.kernel_violations(*kernel_tables(spark, sf_dir), LABELS)
