@@ -17,7 +17,7 @@ def quoted(text: Column) -> Column:
     fixed = plain
     for x in _CAPITALS:
         fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u00{x}", rf"$1\\u00{x.lower()}")
-    return F.when(plain.rlike(r"\\u00[01][A-F]"), fixed).otherwise(plain)
+    return F.when(text.isNotNull(), F.when(plain.rlike(r"\\u00[01][A-F]"), fixed).otherwise(plain))
 
 
 def json_text(c: Column, kind: T.DataType, item: str = ", ", colon: str = ": ") -> Column:

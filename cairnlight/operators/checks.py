@@ -20,24 +20,28 @@ def failing(broken: Column, message: Column, value: Column) -> Column:
     return F.when(broken, F.raise_error(message)).otherwise(value)
 
 
-def unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df``, which raises if a key repeats. One shuffle on the keys, which a join on them takes over."""
+def unique(df: DataFrame, keys: list[str], ok: str | None = None) -> DataFrame:
+    """``df``, which raises if a key repeats. One shuffle on the keys, which a join on them takes over.
+
+    With ``ok`` the check is a column of that name, which what follows must look at for the check to run.
+    """
     rest = [c for c in df.columns if c not in keys]
     one = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_r"))
     said = F.concat(F.lit("duplicate key: "), F.to_json(F.struct(*keys)))
-    # The row comes out of the check, so no optimiser can drop the check.
-    checked = one.withColumn("_r", failing(F.col("_n") > 1, said, F.col("_r")))
-    return checked.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
-
-
-def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", complete: bool = False) -> DataFrame:
-    """Join in which a key of ``right`` occurs once; with ``complete``, a row without a match raises too."""
-    dim = unique(right, keys).withColumn("_found", F.lit(True))
-    out = left.join(dim, keys, "left" if complete else how)
-    if complete:
-        said = F.concat(F.lit("no match: "), F.to_json(F.struct(*keys)))
-        out = out.withColumn("_found", failing(F.col("_found").isNull(), said, F.col("_found"))).where("_found")
-    return out.drop("_found")
+    name = ok or "_ok"
+    checked = one.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest), failing(F.col("_n") > 1, said, F.lit(True)).alias(name))
+    return checked if ok else checked.where(name).drop(name)
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], complete: bool = False) -> DataFrame:
+    """Left join in which a key of ``right`` occurs once, or it raises; with ``complete``, a row without a match raises too.
+
+    Rows are kept by what the check gives, so it runs whatever columns are asked for later.
+    """
+    out = left.join(unique(right, keys, "_ok"), keys, "left")
+    said = F.concat(F.lit("no match: "), F.to_json(F.struct(*keys)))
+    kept = failing(F.col("_ok").isNull(), said, F.col("_ok")) if complete else F.coalesce("_ok", F.lit(True))
+    return out.where(kept).drop("_ok")
 
 
 def boundary(packages: DataFrame, cards: DataFrame, markdown: bool = False) -> DataFrame:

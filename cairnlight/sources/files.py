@@ -16,9 +16,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header and a fixed schema; only ``columns`` are parsed."""
-    df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header and a fixed schema; only ``columns`` are parsed. With ``multi_line`` cells may hold line ends, and
+    a file is not split."""
+    df = spark.read.schema(schema).options(header=True, mode="FAILFAST", escape='"', multiLine=multi_line, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="", lineSep="\n").csv(path)
     return df.select(*columns) if columns else df
 
 
@@ -53,12 +54,35 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", report_names(F.col("path")).alias("r"), head.contains("%PDF-").alias("is_pdf")).select("path", "r.*", "is_pdf")
 
 
+#: The names under which an inventory may have its columns, in order of preference.
+INVENTORY_NAMES = {
+    "company": ["company_id", "company", "Company", "company_name"],
+    "year": ["source_year", "reporting_year", "report_year", "year", "Year"],
+    "kind": ["source_type", "report_type", "type"],
+    "file": ["file_name", "filename", "file", "path"],
+}
+
+
 def inventory(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """Columns under their first known name each, repeated rows dropped."""
     cols = [F.coalesce(*(F.col(c) for c in options if c in df.columns), F.lit(None)).cast("string").alias(name) for name, options in names.items()]
     return df.select(*cols).dropDuplicates()
 
 
+def report_inventory(listed: DataFrame, found: DataFrame, names: dict[str, list[str]] = INVENTORY_NAMES) -> DataFrame:
+    """(company, year, kind, file, listed): reports of an inventory, then files of ``found`` (path) that it does not list.
+
+    A report is one (company, year, kind, file), file being the last part of a path; of repeats the listed one stays. What
+    an inventory leaves out is read from the name of the file. Files with other names are left out.
+    """
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    named = inventory(listed, names).withColumn("file", base(F.col("file"))).withColumn("r", report_names(F.col("file")))
+    named = named.select(F.coalesce("company", "r.company").alias("company"), F.coalesce(F.col("year").try_cast("int"), F.col("r.year")).alias("year"), F.coalesce("kind", "r.kind").alias("kind"), "file", F.lit(True).alias("listed"))
+    others = found.select(base(F.col("path")).alias("file"), report_names(base(F.col("path"))).alias("r")).where("r is not null")
+    others = others.select("r.company", "r.year", "r.kind", "file", F.lit(False).alias("listed"))
+    return named.unionByName(others).groupBy("company", "year", "kind", "file").agg(F.bool_or("listed").alias("listed"))
+
+
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """Names from a text file, one per line; ``#`` starts a comment."""
     line = clean_text(F.regexp_replace("value", "#.*$", ""))
@@ -77,7 +101,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """CSV with a header in a fixed order of columns."""
-    df.select(*(columns or df.columns)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.select(*(columns or df.columns)).write.mode("overwrite").options(header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n").csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, keys: list[str]) -> None:

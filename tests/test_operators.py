@@ -86,12 +86,6 @@ def test_glyph_gate(spark):
     assert [r[0] for r in df.select(X.glyph_reason(F.col("t"))).collect()] == ["unmapped_font_glyphs", None]
 
 
-def test_quotes(spark):
-    df = spark.createDataFrame([("one two\nx\nthree", "one two\nthree"), ("abc", "zzz"), ("aaaa", "aa")], "t string, q string")
-    rows = df.select(X.quote_mode(F.col("t"), F.col("q")), X.occurrences(F.col("t"), F.col("q"))).collect()
-    assert [r[0] for r in rows] == ["verbatim_line_segments", "full_disclosure", "exact"] and rows[2][1] == [0, 1, 2]
-
-
 def test_render_once(spark):
     row = spark.createDataFrame([("{b}", "x")], "a string, b string").select(X.render("{a} and {b}, {c}", {"a": F.col("a"), "b": F.col("b")}).alias("t")).first()
     assert row["t"] == "{b} and x, {c}"
