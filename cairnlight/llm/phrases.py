@@ -107,8 +107,8 @@ class _Shard:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
     shards: dict[str, _Shard] = {}
-    for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for part in (b.slice(start, 256) for b in batches for start in range(0, b.num_rows, 256)):
+        for lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
             shards.setdefault(lang, _Shard()).add(text)
             if sum(s.size for s in shards.values()) >= SHARD_WORDS:
                 yield from ((k, *s.words()) for k, s in shards.items())
