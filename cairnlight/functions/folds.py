@@ -1,4 +1,4 @@
-"""Sequential folds over texts and rows: chunking, paragraphs, batches, prompts."""
+"""Sequential folds over texts and rows: paragraphs, batches, slots."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairnlight.functions.text import _WORD, pack_sentences
-
 #: What parts blocks, and lines that alone make no paragraph.
 _BLANK = re.compile(r"\n[ \t]*(?=\n)")
 _EMPTY_LINE = re.compile(r"#{1,6}\s+.*|[-*_]{3,}")
@@ -35,44 +33,6 @@ def paragraphs_of(c: Column) -> Column:
     return cut(c)
 
 
-def chunks(blocks: list[str], least: int = 40, most: int = 250, min_chars: int = 80) -> list[tuple[str, bool]]:
-    """(text, short) of accumulated blocks, flushed as soon as ``least`` words are reached.
-
-    A block of over ``most`` words closes the running chunk, and its pieces stand by themselves. A chunk with too few
-    characters is dropped, one with too few words is kept and marked short, as is a short piece.
-    """
-    out: list[tuple[str, bool]] = []
-    held: list[str] = []
-
-    def words(x: str) -> int:
-        return len(_WORD.findall(x))
-
-    def flush() -> None:
-        text = " ".join(" ".join(held).split())
-        if len(text) >= min_chars:
-            out.append((text, words(text) < least))
-        held.clear()
-
-    for block in (" ".join(x.split()) for x in blocks):
-        if words(block) > most:
-            flush()
-            out += [(piece, words(piece) < least) for piece in pack_sentences(block, most)]
-        elif block:
-            held.append(block)
-            if sum(map(words, held)) >= least:
-                flush()
-    flush()
-    return out
-
-
-def chunk_text(c: Column, least: int = 40, most: int = 250) -> Column:
-    @F.pandas_udf("array<struct<text:string,short:boolean>>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [{"text": t, "short": k} for t, k in chunks([p for _, _, p in paragraphs(x)], least, most)])
-
-    return cut(c)
-
-
 def batches(sizes: list[int], most_items: int, most_size: int) -> list[int]:
     """Batch number of each item: a new batch where the count or the size would be passed."""
     out, n, total, batch = [], 0, 0, 0
@@ -84,26 +44,6 @@ def batches(sizes: list[int], most_items: int, most_size: int) -> list[int]:
     return out
 
 
-def evidence_blocks(prompt: str, blocks: list[str]) -> list[int]:
-    """Start of each block, looked for in order after the one before; -1 from the first that is missing."""
-    out, at = [], 0
-    for b in blocks:
-        at = -1 if at < 0 else prompt.find(b, at)
-        out.append(at)
-        at = at if at < 0 else at + len(b)
-    return out
-
-
-def patched(claims: list[str], replaced: list[tuple[list[int], list[str]]], added: list[str]) -> list[str]:
-    """Claims after a patch: new ones stand where the first of those they replace stood, additions at the end."""
-    gone = {i for places, _ in replaced for i in places}
-    first = {min(places): new for places, new in replaced if places}
-    out = []
-    for i, c in enumerate(claims):
-        out += first.get(i, [] if i in gone else [c])
-    return out + added
-
-
 def water_fill(have: dict[str, int], caps: dict[str, int], slots: int) -> dict[str, int]:
     """Slots given one by one to the label with the least so far that is under its cap, ties in the order of ``have``."""
     got = dict.fromkeys(have, 0)

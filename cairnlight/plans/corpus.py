@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnlight.functions import text as X
+from cairnlight.functions.chunking import split_long_text
 from cairnlight.operators import metrics as M
 from cairnlight.operators import sampling as S
 from cairnlight.operators.grounding import occurrences, quoted_in
@@ -77,7 +78,7 @@ def sc8(spark, sf_dir):
 
 @query("SC9_split_long_text")
 def sc9(spark, sf_dir):
-    c = docs(spark, sf_dir).select("doc_id", F.posexplode(X.split_long_text(F.col("text"), 250)).alias("chunk", "text"))
+    c = docs(spark, sf_dir).select("doc_id", F.posexplode(split_long_text(F.col("text"), 250)).alias("chunk", "text"))
     return c.select("doc_id", "chunk", "text")
 
 

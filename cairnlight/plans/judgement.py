@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cairnlight.functions import folds
+from cairnlight.functions import chunking, folds
 from cairnlight.functions import text as X
 from cairnlight.operators import metrics as M
 from cairnlight.plans.corpus import docs
@@ -119,9 +119,11 @@ def wn2(spark, sf_dir):
 
 @query("WN9_chunks")
 def wn9(spark, sf_dir):
-    """Paragraphs accumulated to chunks; a fold with reset, checked by tests."""
-    c = docs(spark, sf_dir).select("doc_id", F.posexplode(folds.chunk_text(F.col("text"))).alias("chunk", "c"))
-    return c.select("doc_id", "chunk", "c.text", "c.short")
+    """Paragraphs, ten to a page, gathered to chunks; the fold is checked by tests against plain Python."""
+    blocks = F.transform(folds.paragraphs_of(F.col("text")), lambda p, i: F.struct(p["text"].alias("text"), (i / 10 + 1).cast("int").alias("page"), F.array().cast("array<string>").alias("warnings")))
+    # Written out, so that the paragraphs are cut once.
+    c = docs(spark, sf_dir).select("doc_id", blocks.alias("blocks")).select("doc_id", F.posexplode(chunking.narrative_chunks(F.col("blocks"))).alias("chunk", "c"))
+    return c.select("doc_id", "chunk", "c.text", "c.page_start", "c.page_end", F.array_join("c.warnings", ",").alias("warnings"))
 
 
 @query("WN10_batches")

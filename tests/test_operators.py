@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from cairnlight.functions import chunking
 from cairnlight.functions import text as X
 from cairnlight.operators import metrics as M
 from cairnlight.operators import retrieval as R
@@ -139,9 +141,65 @@ def test_rank_dense_all(spark, monkeypatch):
     assert sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in got) == sorted(want)
 
 
-def test_pack_sentences():
-    assert X.pack_sentences("One two. Three four. Five six.", 4) == ["One two. Three four.", "Five six."]
-    assert [len(c.split()) for c in X.pack_sentences(" ".join(["w"] * 20), 8)] == [8, 8, 4]
+def plain_words(text):
+    return len(re.findall(r"\b\S+\b", text))
+
+
+def plain_parts(text, most):
+    """Runs of sentences, as many as fit; found by trying the longest run first."""
+    left, out = [" ".join(s.split()) for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()], []
+    while left:
+        n = max([k for k in range(1, len(left) + 1) if sum(map(plain_words, left[:k])) <= most] or [1])
+        out.append(" ".join(left[:n]))
+        left = left[n:]
+    if len(out) == 1 and plain_words(out[0]) > 1.5 * most:
+        w = out[0].split()
+        return [" ".join(w[i : i + most]) for i in range(0, len(w), most)]
+    return out
+
+
+def plain_table(t):
+    return sum(ch.isdigit() for ch in t) / max(len(t), 1) > 0.18 and (len(re.findall(r"\d+(?:[,.]\d+)*", t)) >= 4 or "|" in t or "\t" in t)
+
+
+def plain_chunks(blocks, least, most, min_chars):
+    blocks = [(" ".join(t.split()), p) for t, p in blocks if t.strip()]
+    out, held = [], []
+    for k, (text, page) in enumerate(blocks):
+        if plain_words(text) <= most:
+            held.append((text, page))
+        last = k + 1 == len(blocks) or plain_words(blocks[k + 1][0]) > most
+        if held and (plain_words(text) > most or last or sum(plain_words(t) for t, _ in held) >= least):
+            whole, pages = " ".join(t for t, _ in held), {p for _, p in held}
+            marks = ["very_short_chunk"] * (len(whole) < min_chars or plain_words(whole) < least) + ["possible_table_text"] * plain_table(whole) + ["page_break_joined"] * (len(pages) > 1)
+            out += [(whole, min(pages), max(pages), sorted(marks))] * (len(whole) >= min_chars)
+            held = []
+        if plain_words(text) > most:
+            out += [(p, page, page, sorted(["very_short_chunk"] * (plain_words(p) < least) + ["possible_table_text"] * plain_table(p))) for p in plain_parts(text, most)]
+    return out
+
+
+def test_long_texts(spark):
+    r = random.Random(9)
+    texts = ["One two. Three four. Five six.", " ".join(["w"] * 20), "", "  ", "a. b. c. d. e. f. g. h. i.", "one two three four five six seven! a b. c?  d", None]
+    texts += ["".join(r.choice(["ab ", "c. ", "d! ", "-- ", "e  ", "f?\n", "g "]) for _ in range(r.randrange(40))) for _ in range(60)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(chunking.split_long_text(F.col("t"), 4)).collect()
+    assert [r[0] for r in got] == [plain_parts(t or "", 4) for t in texts]
+
+
+def test_chunks(spark):
+    r = random.Random(10)
+    word = lambda: r.choice(["alpha", "12", "3,4", "|", "be", "gamma.", "7!"])
+    docs = []
+    for _ in range(60):
+        pages = sorted(r.randrange(1, 4) for _ in range(r.randrange(9)))
+        docs.append([(" ".join(word() for _ in range(r.choice([0, 2, 5, 12, 25]))), p, None) for p in pages])
+    kind = "k int, b array<struct<text:string,page:int,warnings:array<string>>>"
+    got = spark.createDataFrame(list(enumerate(docs)), kind).select("k", chunking.narrative_chunks(F.col("b"), 8, 16, 20).alias("c")).collect()
+    for row in got:
+        assert [(c["text"], c["page_start"], c["page_end"], c["warnings"]) for c in row["c"]] == plain_chunks([(t, p) for t, p, _ in docs[row["k"]]], 8, 16, 20)
+    short = spark.createDataFrame([(0, [("tiny", 1, ["w"])])], kind).select(F.inline(chunking.narrative_chunks(F.col("b"), include_short=True))).first()
+    assert tuple(short) == ("tiny", 1, 1, ["very_short_chunk", "w"])
 
 
 def test_spearman(spark):
@@ -190,12 +248,5 @@ def test_folds():
     text = "a\n\n b c \n\nd"
     assert all(text[s:e] == t for s, e, t in folds.paragraphs(text))
     assert folds.batches([5, 5, 5, 20, 1], 2, 12) == [0, 0, 1, 2, 3]
-    assert folds.evidence_blocks("A x B y A", ["A", "B", "A", "Z"]) == [0, 4, 8, -1]
-    assert folds.patched(["a", "b", "c", "d"], [([3, 1], ["m"])], ["z"]) == ["a", "m", "c", "z"]
     assert folds.water_fill({"a": 5, "b": 1, "c": 4}, {"a": 9, "b": 2, "c": 9}, 4) == {"a": 1, "b": 2, "c": 1}
     assert [p[2] for p in folds.paragraphs("#hashtag text\n\n===\n\n## Head\n***\n \n\n a | b ")] == ["#hashtag text", "===", "a | b"]
-    sentence = "one two three four five six seven eight nine ten. "
-    mixed = folds.chunks(["short text " * 10, sentence * 30, "tail words here " * 10], 40, 250)
-    assert [len(t.split()) for t, _ in mixed] == [20, 250, 50, 30] and [k for _, k in mixed] == [True, False, False, True]
-    out = folds.chunks(["word " * 30, "word " * 30, "word " * 20], 40, 250)
-    assert [k for _, k in out] == [False, True]
