@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,21 +51,22 @@ def bm25_scores(cards: DataFrame, queries: DataFrame, pool: str, id_col: str = "
 TABLE_CELLS = 4_000_000
 #: Scores of a batch of cards that are held at a time.
 SCORE_CELLS = 2_000_000
+#: Terms up to which cards are filtered to those of the queries before they leave the JVM.
+FILTER_TERMS = 20_000
 
 
 def rank_bm25(cards: DataFrame, queries: DataFrame, pool: str, top_n: int, id_col: str = "evidence_id") -> DataFrame:
     """Top cards of each query and pool. Cards without a shared term rank after the others, by id.
 
     The query side is small: while its terms and each pool's figures for them stay under ``TABLE_CELLS``, they go to
-    every task, a batch of cards is scored against all queries at once, and only the best of each batch are shuffled.
-    A larger query side meets the cards by joins (``rank_bm25_joined``), with the same result.
+    every task. Cards come with the terms that some query has only, in two passes: one for the figures of the pools, one
+    for the scores against all queries at once. A larger query side meets the cards by joins (``rank_bm25_joined``), with
+    the same result.
     """
     spark = cards.sparkSession
     terms = queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
     sizes = terms.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("pairs")).crossJoin(queries.agg(F.count_distinct("query_id").alias("queries"))).first()
-    tokens = cards.select(F.col(pool).alias("pool"), F.col(id_col).alias("id"), bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    pools = {r["pool"]: (r["n"], r["avgdl"]) for r in tokens.groupBy("pool").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).limit(TABLE_CELLS + 1).collect()}
-    if max(sizes["terms"] * max(len(pools), sizes["queries"]), sizes["pairs"]) > TABLE_CELLS:
+    if max(sizes["terms"] * max(1, sizes["queries"]), sizes["pairs"]) > TABLE_CELLS:
         return rank_bm25_joined(cards, queries, pool, top_n, id_col)
     query_ids = [r["query_id"] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]
     number: dict[str, int] = {}
@@ -73,39 +75,49 @@ def rank_bm25(cards: DataFrame, queries: DataFrame, pool: str, top_n: int, id_co
     has = np.zeros((max(1, len(number)), len(query_ids)))
     for q, t in pairs:
         has[t, q] = 1.0
-    pool_number = {p: i for i, p in enumerate(pools)}
-    vocabulary = spark.sparkContext.broadcast((number, pool_number))
+    every = cards.select(F.col(pool).alias("pool"), F.col(id_col).alias("id"), bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    # Tokens are ASCII letters, digits and points, so they need no escapes.
+    listed = ", ".join(f"'{t}'" for t in number)
+    known = F.expr(f"filter(tokens, t -> t IN ({listed}))") if 0 < len(number) <= FILTER_TERMS else F.col("tokens")
+    tokens = every.select("pool", "id", known.alias("tokens"), F.size("tokens").alias("size"))
+    vocabulary = spark.sparkContext.broadcast(number)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of_pool = vocabulary.value
-        found: dict[int, int] = {}
+        known = vocabulary.value
+        found: dict[object, Counter] = {}
         for batch in batches:
-            for p, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in {known[x] for x in own if x in known}:
-                    cell = of_pool[p] * len(known) + t
-                    found[cell] = found.get(cell, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["cell", "df"])
-
-    df = np.zeros(max(1, len(pools)) * max(1, len(number)))
-    for r in tokens.select("pool", "tokens").mapInArrow(count, "cell long, df long").groupBy("cell").agg(F.sum("df").alias("df")).toArrow().to_pylist():
-        df[r["cell"]] = r["df"]
-    n = np.array([pools[p][0] for p in pools] or [0.0])[:, None]
-    idf = np.log(1 + (n - df.reshape(len(n), -1) + 0.5) / (df.reshape(len(n), -1) + 0.5))
-    model = spark.sparkContext.broadcast((idf, has, [max(pools[p][1], 1e-9) for p in pools]))
+            for p, own, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = found.setdefault(p, Counter())
+                n.update(known.keys() & own)
+                n[-1] += 1
+                n[-2] += size
+        rows = [(p, known.get(t, t), n) for p, c in found.items() for t, n in c.items()]
+        pool_, term_, n_ = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(pool_, kind), pa.array(term_, pa.int32()), pa.array(n_, pa.int64())], names=["pool", "term", "n"])
+
+    kind = to_arrow_schema(tokens.select("pool").schema).field(0).type
+    parts = tokens.select("pool", "tokens", "size").mapInArrow(count, f"pool {tokens.schema['pool'].dataType.simpleString()}, term int, n long")
+    figures = parts.groupBy("pool", "term").agg(F.sum("n").alias("n")).limit(TABLE_CELLS + 1).toArrow().to_pydict()
+    pools = {p: i for i, p in enumerate(dict.fromkeys(figures["pool"]))}
+    if max(len(figures["n"]), len(pools) * len(number)) > TABLE_CELLS:
+        return rank_bm25_joined(cards, queries, pool, top_n, id_col)
+    table = np.zeros((max(1, len(pools)), len(number) + 2))
+    for p, t, n in zip(figures["pool"], figures["term"], figures["n"], strict=True):
+        table[pools[p], t] = n
+    n, df = table[:, -1:], table[:, : max(1, len(number))] if number else np.zeros((len(table), 1))
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    lengths = np.maximum(table[:, -2] / np.maximum(table[:, -1], 1), 1e-9)
+    model = spark.sparkContext.broadcast((idf, has, lengths, pools))
 
     def score(batch: pa.RecordBatch) -> np.ndarray:
-        (known, of_pool), (weights, matrix, lengths) = vocabulary.value, model.value
+        known, (weights, matrix, mean, of_pool) = vocabulary.value, model.value
         out = np.zeros((batch.num_rows, matrix.shape[1]))
-        for i, (p, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-            tf: dict[int, int] = {}
-            for x in own:
-                if (t := known.get(x)) is not None:
-                    tf[t] = tf.get(t, 0) + 1
-            if tf:
-                k, at = of_pool[p], np.fromiter(tf, np.int64, len(tf))
-                f = np.fromiter(tf.values(), np.float64, len(tf))
-                w = weights[k, at] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(own) / lengths[k]))
-                out[i] = w @ matrix[at]
+        for i, (p, own, size) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)):
+            at, f = np.unique([known[x] for x in own if x in known], return_counts=True)
+            if len(at):
+                k = of_pool[p]
+                w = weights[k, at.astype(np.int64)] * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean[k]))
+                out[i] = w @ matrix[at.astype(np.int64)]
         return np.round(out, 9)
 
     return _best(tokens, score, query_ids, queries.schema["query_id"].dataType.simpleString(), pool, id_col, top_n)
@@ -114,30 +126,47 @@ def rank_bm25(cards: DataFrame, queries: DataFrame, pool: str, top_n: int, id_co
 def _best(rows: DataFrame, score, query_ids: list, query_type: str, pool: str, id_col: str, top_n: int) -> DataFrame:
     """Top rows of each query and pool; ``rows`` has pool and id first, and ``score`` gives a matrix for a batch of them.
 
-    A batch passes on its own top rows only.
+    Rows are dealt by pool, large pools to several tasks, and sorted by it. A task gathers a pool's rows up to a bound and
+    passes on their top rows only, so what is ranked after is near the size of the result.
     """
     kinds = f"query_id {query_type}, pool {rows.schema['pool'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
 
     target = to_arrow_schema(T._parse_datatype_string(kinds))
+    most = max(1, SCORE_CELLS // max(1, len(query_ids)))
+
+    def best(p: object, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        ids = np.array(batch.column(1).to_pylist(), object)
+        by_id = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+        scores = score(batch)[by_id]
+        order = np.argsort(-scores, axis=0, kind="stable")[:top_n]
+        q = np.repeat(np.arange(len(query_ids)), order.shape[0])
+        at = order.T.ravel()
+        columns = [[query_ids[x] for x in q], [p] * len(q), ids[by_id[at]].tolist(), scores[at, q] + 0.0]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, SCORE_CELLS // max(1, len(query_ids)))
-        for whole in batches:
-            for start in range(0, whole.num_rows if query_ids else 0, step):
-                batch = whole.slice(start, step)
-                ids, of = np.array(batch.column(1).to_pylist(), object), batch.column(0).to_pylist()
-                scores, members = score(batch), {}
-                for i in sorted(range(len(ids)), key=ids.__getitem__):
-                    members.setdefault(of[i], []).append(i)
-                for p, own in members.items():
-                    at = np.array(own)
-                    order = np.argsort(-scores[at], axis=0, kind="stable")[:top_n]
-                    best, k = at[order].T.ravel(), order.shape[0]
-                    q = np.repeat(np.arange(len(query_ids)), k)
-                    columns = [[query_ids[x] for x in q], [p] * len(q), ids[best].tolist(), scores[best, q] + 0.0]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-    found = rows.mapInArrow(run, kinds).select("query_id", F.col("pool").alias(pool), F.col("id").alias(id_col), "score")
+        held, size, current = [], 0, None
+        for batch in batches if query_ids else ():
+            of = batch.column(0).to_pylist()
+            begins = [i for i in range(len(of)) if i == 0 or of[i] != of[i - 1]]
+            for start, stop in zip(begins, [*begins[1:], len(of)], strict=True):
+                if held and of[start] != current:
+                    yield best(current, held)
+                    held, size = [], 0
+                current = of[start]
+                while start < stop:
+                    part = batch.slice(start, min(stop - start, most - size))
+                    held.append(part)
+                    start, size = start + part.num_rows, size + part.num_rows
+                    if size >= most:
+                        yield best(current, held)
+                        held, size = [], 0
+        if held:
+            yield best(current, held)
+
+    dealt = rows.hint("rebalance", "pool").sortWithinPartitions("pool")
+    found = dealt.mapInArrow(run, kinds).select("query_id", F.col("pool").alias(pool), F.col("id").alias(id_col), "score")
     return ranked(found, ["query_id", pool], "score", id_col, top_n)
 
 

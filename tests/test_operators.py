@@ -65,6 +65,19 @@ def test_bm25_small_and_large_query_side(spark, monkeypatch):
     assert R.rank_bm25(cards.limit(0), q, "pool", 5).count() == R.rank_bm25(cards, q.limit(0), "pool", 5).count() == 0
 
 
+def test_rows_before_ranking(spark, monkeypatch):
+    """What tasks pass on is near the size of the lists, however many pools and batches there are."""
+    rows = [(f"p{i % 1500}" if i % 3 else "hot", f"e{i:05d}", "a b" if i % 2 else "b") for i in range(9000)]
+    cards = spark.createDataFrame(rows, "pool string, evidence_id string, text string").repartition(4)
+    q = spark.createDataFrame([(i, "a b"[: 1 + 2 * (i % 2)]) for i in range(6)], "query_id int, text string")
+    ranked = R.ranked
+    monkeypatch.setattr(R, "ranked", lambda df, *_: df)
+    passed = R.rank_bm25(cards, q, "pool", 5).count()
+    monkeypatch.setattr(R, "ranked", ranked)
+    lists = R.rank_bm25(cards, q, "pool", 5).count()
+    assert lists <= passed <= lists + 4 * 6 * 5
+
+
 def test_dense(spark):
     pool = spark.createDataFrame([("a", 1, [2.0, 0.0]), ("b", 1, [0.0, 1.0])], "id string, k int, vector array<float>")
     q = spark.createDataFrame([(1, 1, [1.0, 0.0])], "query_id int, k int, query_vector array<float>")
