@@ -63,17 +63,28 @@ def stacked_means(df: DataFrame, dimensions: list[str], values: list[str]) -> Da
     return out.select("dimension", member.alias("member"), "n", *values)
 
 
-def average_rank(value: str, *partition: str) -> Column:
-    """Rank from 1 with ties at their mean."""
-    w = Window.partitionBy(*partition).orderBy(value)
-    ties = Window.partitionBy(*partition, value)
-    return F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0
+def average_ranks(counts: DataFrame, group: str, value: str, rank: str) -> DataFrame:
+    """(group, value, rank) from a table of distinct pairs of values with their numbers ``n``: ties at their mean rank.
+
+    What is sorted are the distinct values of a group with their frequencies, not its rows.
+    """
+    freq = counts.groupBy(group, value).agg(F.sum("n").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    return freq.select(group, value, (before + (F.col("_n") + 1) / 2.0).alias(rank))
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Rank correlation of complete pairs in each group; null where a side is constant."""
-    whole = df.dropna(subset=[x, y]).withColumns({"rx": average_rank(x, group), "ry": average_rank(y, group)})
-    return whole.groupBy(group).agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    """Rank correlation of complete pairs in each group; null where a side is constant.
+
+    Pairs are counted first; sums of products of ranks, each times its number, give the correlation.
+    """
+    counts = df.dropna(subset=[x, y]).groupBy(group, x, y).agg(F.count("*").alias("n"))
+    whole = counts.join(average_ranks(counts, group, x, "rx"), [group, x]).join(average_ranks(counts, group, y, "ry"), [group, y])
+    middle = whole.groupBy(group).agg((F.sum("n") + 1).alias("_2m"))
+    n, m = F.col("n"), F.col("_2m") / 2.0
+    dx, dy = F.col("rx") - m, F.col("ry") - m
+    sums = whole.join(middle, group).groupBy(group).agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"), F.sum("n").alias("n"))
+    return sums.select(group, F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"), "n")
 
 
 def frequency_quantiles(freq: DataFrame, keys: list[str], value: str, n: str, shares: list[float]) -> DataFrame:
@@ -84,16 +95,56 @@ def frequency_quantiles(freq: DataFrame, keys: list[str], value: str, n: str, sh
     return run.groupBy(*keys).agg(*(F.min(F.when(F.col("share") >= p, F.col(value))).alias(f"q{round(p * 100)}") for p in shares))
 
 
+#: Clusters up to which the driver resamples.
+MOST_CLUSTERS = 1_000_000
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, total: str, count: str, draws: int = 2000, seed: int = 20260921) -> tuple[float, float, float]:
-    """Ratio of sums, with a percentile interval over resampled clusters.
+    """Ratio of sums, with a percentile interval over resampled clusters; nulls without any row.
 
-    Sums per cluster come from the cluster; the clusters themselves are few and go to the driver in sorted order.
+    Sums per cluster come from the cluster and go to the driver in sorted order, a checked number of them; draws are made
+    one after another, so that one draw's places are held at a time.
     """
     import numpy as np
 
-    rows = df.groupBy(cluster).agg(F.sum(total).alias("t"), F.sum(count).alias("c")).orderBy(cluster).collect()
+    rows = df.groupBy(cluster).agg(F.sum(total).alias("t"), F.sum(count).alias("c")).orderBy(cluster).limit(MOST_CLUSTERS + 1).collect()
+    if len(rows) > MOST_CLUSTERS:
+        raise ValueError(f"over {MOST_CLUSTERS} clusters")
+    if not rows:
+        return float("nan"), float("nan"), float("nan")
     t, c = np.array([r["t"] for r in rows], float), np.array([r["c"] for r in rows], float)
-    pick = np.random.default_rng(seed).integers(0, len(rows), (draws, len(rows)))
-    means = t[pick].sum(axis=1) / c[pick].sum(axis=1)
+    rng, means = np.random.default_rng(seed), np.empty(draws)
+    for k in range(draws):
+        pick = rng.integers(0, len(rows), len(rows))
+        means[k] = t[pick].sum() / c[pick].sum()
     low, high = np.quantile(means, [0.025, 0.975])
     return float(t.sum() / c.sum()), float(low), float(high)
+
+
+def paired_difference(df: DataFrame, cluster: str, x: str, y: str, draws: int = 2000, seed: int = 20260921) -> tuple[float, float, float]:
+    """Mean of x - y over rows that have both, with an interval over resampled clusters."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(cluster, (F.col(x) - F.col(y)).alias("_d"), F.lit(1).alias("_one"))
+    return cluster_bootstrap(pairs, cluster, "_d", "_one", draws, seed)
+
+
+def aligned_score(statements: Column, verdicts: Column) -> tuple[Column, Column]:
+    """(mean verdict, error): the error says how many there are of each where the lists differ in length, or that there are
+    none; then the mean is null."""
+    n, m = F.coalesce(F.size(statements), F.lit(0)), F.coalesce(F.size(verdicts), F.lit(0))
+    error = F.when(n != m, F.concat(n.cast("string"), F.lit(" statements, "), m.cast("string"), F.lit(" verdicts"))).when(n == 0, "no statements")
+    ok = F.aggregate(verdicts, F.lit(0), lambda s, v: s + F.coalesce(v.cast("int"), F.lit(0)))
+    return F.when(error.isNull(), F.try_divide(ok.cast("double"), n.cast("double"))), error
+
+
+def table_difference(a: DataFrame, b: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """One row: keys of one side only, and for each column how many keys of both sides have another value; nulls are equal."""
+    columns = [c for c in a.columns if c != key]
+    x = a.select(key, F.struct(*columns).alias("_a"))
+    y = b.select(key, F.struct(*columns).alias("_b"))
+    j = x.join(y, key, "full_outer")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return j.agg(
+        F.count_if(F.col("_b").isNull()).alias(f"only_{left}"),
+        F.count_if(F.col("_a").isNull()).alias(f"only_{right}"),
+        *(F.count_if(both & ~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}"))).alias(c) for c in columns),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnlight.plans import corpus, evaluation, evidence, files, judgement, retrieval  # noqa: F401
+from cairnlight.plans import corpus, evaluation, evidence, files, judgement, records, retrieval  # noqa: F401
 from cairnlight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -428,3 +428,64 @@ def test_report_inventory(spark):
     found = spark.createDataFrame([("r/acme_2020_AR.pdf",), ("r/acme_2019_AR.pdf",), ("r/readme.pdf",)], "path string")
     got = {tuple(r) for r in files.report_inventory(listed, found).collect()}
     assert got == {("acme", 2020, "AR", "acme_2020_AR.pdf", True), ("beta", 2021, "SR", "beta_2021_SR.pdf", True), ("acme", 2019, "AR", "acme_2019_AR.pdf", False)}
+
+
+# Records and statistics
+
+
+def test_query_bundles(spark):
+    from cairnlight.operators import records
+
+    cases = spark.createDataFrame([(1, "T1", "{year} Ltd", 2020), (2, "T2", "b", 2021)], "case_id int, task_id string, company string, year int")
+    kind = "task_id string, place int, subquery_id string, evidence_need string, template string"
+    templates = spark.createDataFrame([("T1", 1, "s", None, "{company} in {year}, {other}{year}")], kind)
+    row = records.query_bundles(cases.where("case_id = 1"), templates, ["company", "year"]).first()
+    assert [s["query_text"] for s in row["subqueries"]] == ["{year} Ltd in 2020, {other}2020"]
+    payload = {"case_id": 1, "query_bundle_id": "1__query_bundle_v1", "task_id": "T1", "subqueries": [s.asDict() for s in row["subqueries"]]}
+    assert row["query_bundle_hash"] == hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    with pytest.raises(PySparkException, match="no template for T2"):
+        records.query_bundles(cases, templates, ["company", "year"]).collect()
+
+
+def test_jobs(spark):
+    from cairnlight.operators import records
+
+    df = spark.createDataFrame([(1, "a \"é\"\n"), (1, "a \"é\"\n"), (2, None)], "id int, text string")
+    settings = {"model_key": "m", "prompt_version": "v"}
+    got = records.jobs(df, "dc", ["text"], "id", settings).collect()
+    compact = lambda x: hashlib.sha256(json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    for r in got:
+        h = compact({"generation_output_id": r["id"], "dynamic_input": {"text": r["text"]}})
+        assert (r["job_input_hash"], r["call_id"]) == (h, "dc_extract_" + compact({"task": "dc", "job_input_hash": h, **settings})[:32])
+    other = records.jobs(df, "dc", ["text"], "id", {**settings, "model_key": "n"}).collect()
+    assert not {r["call_id"] for r in got} & {r["call_id"] for r in other}
+
+
+def test_statistics(spark):
+    """Bootstrap draws as one matrix of the generator; ranks with ties and constant sides against scipy's definition."""
+    from cairnlight.operators import metrics
+
+    r = random.Random(12)
+    rows = [(f"c{r.randrange(9)}", f"g{r.randrange(3)}", r.choice([0.0, 0.25, 0.5, 1.0, None]), r.choice([0.0, 0.5, 1.0])) for _ in range(300)] + [("c0", "flat", 1.0, 2.0), ("c1", "flat", 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "company string, g string, x double, y double")
+    kept = [(c, g, x, y) for c, g, x, y in rows if x is not None]
+    names = sorted({c for c, *_ in kept})
+    t = np.array([sum(x - y for c, _, x, y in kept if c == n) for n in names])
+    k = np.array([sum(c == n for c, *_ in kept) for n in names], float)
+    pick = np.random.default_rng(20260921).integers(0, len(names), (2000, len(names)))
+    want = (t.sum() / k.sum(), *np.quantile(t[pick].sum(axis=1) / k[pick].sum(axis=1), [0.025, 0.975]))
+    assert np.allclose(metrics.paired_difference(df, "company", "x", "y"), want, atol=1e-12)
+    assert all(map(np.isnan, metrics.paired_difference(df.limit(0), "company", "x", "y")))
+
+    def ranks(v):
+        return [sum(a < b for a in v) + (sum(a == b for a in v) + 1) / 2 for b in v]
+
+    for row in metrics.spearman(df, "g", "x", "y").collect():
+        x, y = zip(*[(a, b) for _, g, a, b in kept if g == row["g"]], strict=True)
+        if row["g"] == "flat":
+            assert row["rho"] is None and row["n"] == 2
+        else:
+            assert abs(row["rho"] - np.corrcoef(ranks(x), ranks(y))[0, 1]) < 1e-9 and row["n"] == len(x)
+    lists = spark.createDataFrame([([1, 2], [True, False]), ([1], []), ([], []), (None, None)], "s array<int>, v array<boolean>")
+    score, error = metrics.aligned_score(F.col("s"), F.col("v"))
+    assert [tuple(x) for x in lists.select(score, error).collect()] == [(0.5, None), (None, "1 statements, 0 verdicts"), (None, "no statements"), (None, "no statements")]
