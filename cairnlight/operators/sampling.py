@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,3 +165,28 @@ def round_robin_quotas(cases: DataFrame, case: str, kinds: list[str], per_case:
     places = F.sequence(F.lit(0), F.lit(per_case - 1))
     dealt = numbered.join(order, "_k").select(case, F.explode(F.transform(places, lambda j: F.get(F.array(*map(F.lit, types)), ((F.col("_i") * per_case + j) % len(types)).cast("int")))).alias("kind"))
     return dealt.groupBy(case, "kind").agg(F.count("*").alias("quota"))
+
+
+def batches(df: DataFrame, group: str, order: str, size: str, most_items: int, most_size: int) -> DataFrame:
+    """(group, order, batch): a new batch where the number of items or the sum of sizes would be passed, from 0 in a group.
+
+    The fold needs a group in order, so a group is read by one task, row after row from a sort that may spill; nothing of
+    it is held.
+    """
+    kinds = df.select(group, order).schema
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, batch, n, total = object(), 0, 0, 0
+        for part in parts:
+            numbers = []
+            for g, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if g != current:
+                    current, batch, n, total = g, 0, 0, 0
+                if n and (n >= most_items or total + s > most_size):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + s
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(numbers, pa.int32())], names=[group, order, "batch"])
+
+    dealt = df.select(group, order, F.coalesce(size, F.lit(0)).alias(size)).repartition(group).sortWithinPartitions(group, order)
+    return dealt.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("batch", T.IntegerType())]))

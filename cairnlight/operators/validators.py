@@ -7,6 +7,7 @@ lies inside a part of the wrong shape is not looked at.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -280,6 +281,63 @@ def diagnosis(reply: Column, dc_id: Column, labels: Sequence[str], forbidden_ids
     return _root(reply, ("dc_claim_id", "unsupported_label", "rationale"), root)
 
 
+CASE_FIELDS = ("case_id", "company_name", "reporting_year", "task", "disclosure_text", "paragraphs", "evidence", "units")
+UNIT_FIELDS = ("unit_id", "unit_type", "target_text", "source_refs", "source_quotes")
+
+
+def packet(case: Column, mapping: Column, quotas: dict[str, int]) -> Column:
+    """A blinded case for reviewers: closed sets of fields, and links to what was sampled.
+
+    ``mapping`` are structs of unit_id, case_id, target_text_sha256 and inclusion_probability of the case's units. Every
+    unit is in it and it has no other; texts have the digests noted there, refs name paragraphs or evidence, quotes and
+    paragraphs are in the disclosure, probabilities over 0 and at most 1, and each type has its quota.
+    """
+
+    def root(m: Column) -> Column:
+        text = F.coalesce(as_text(part(m, "disclosure_text")), F.lit(""))
+        case_id = as_text(part(m, "case_id"))
+        evidence, blocks, units = (as_list(part(m, x)) for x in ("evidence", "paragraphs", "units"))
+        names = lambda items, field: F.coalesce(F.transform(items, lambda x: as_text(part(as_object(x), field))), _none())
+        refs = F.concat(names(blocks, "ref"), names(evidence, "label"))
+        ids = names(units, "unit_id")
+        known = F.transform(mapping, lambda r: r["unit_id"])
+
+        def closed(fields: Sequence[str], then: Callable[[Column, Column], Column] | None = None) -> Callable[[Column, Column], Column]:
+            def check(x: Column, at: Column) -> Column:
+                o = as_object(x)
+                return unless((o.isNull(), at, "object"), (~_fields(o, fields), at, "fields"), then=then(o, at) if then else _none())
+
+            return check
+
+        def paragraph(o: Column, at: Column) -> Column:
+            return broken((~F.coalesce(text.contains(as_text(part(o, "text"))), F.lit(False)), _at(at, "text"), "not_in_source"))
+
+        def unit(o: Column, at: Column) -> Column:
+            record = F.get(F.filter(mapping, lambda r: r["unit_id"] == as_text(part(o, "unit_id"))), F.lit(0))
+            p = record["inclusion_probability"]
+            own = broken(
+                (~record["case_id"].eqNullSafe(case_id) | F.coalesce(F.size(F.array_except(ids_of(part(o, "source_refs")), refs)) > 0, F.lit(True)), at, "link"),
+                (~F.sha2(as_text(part(o, "target_text")), 256).eqNullSafe(record["target_text_sha256"]), _at(at, "target_text"), "digest"),
+                (~F.coalesce(F.forall(ids_of(part(o, "source_quotes")), lambda q: text.contains(q)), F.lit(False)), _at(at, "source_quotes"), "not_in_source"),
+                (~F.coalesce((p > 0) & (p <= 1), F.lit(False)), at, "probability"),
+            )
+            return unless((record.isNull(), _at(at, "unit_id"), "unknown"), then=own)
+
+        kinds = names(units, "unit_type")
+        times = lambda name: F.size(F.filter(kinds, lambda k: k == name))
+        counts = [times(name) != n for name, n in quotas.items()]
+        other = F.size(F.array_except(kinds, F.array(*map(F.lit, quotas)))) > 0
+        lists = unless(*((x.isNull(), F.lit(f"$.{n}"), "list") for x, n in ((evidence, "evidence"), (blocks, "paragraphs"), (units, "units"))), then=F.concat(
+            each(evidence, F.lit("$.evidence"), closed(("label", "context"))),
+            each(blocks, F.lit("$.paragraphs"), closed(("ref", "text"), paragraph)),
+            each(units, F.lit("$.units"), closed(UNIT_FIELDS, unit)),
+            broken((_repeats(ids), F.lit("$.units"), "duplicates"), (F.size(F.array_except(known, ids)) > 0, F.lit("$.units"), "incomplete"), (reduce(Column.__or__, counts, other), F.lit("$.units"), "counts")),
+        ))
+        return lists
+
+    return _root(case, CASE_FIELDS, root)
+
+
 def in_order(ids: Column, known: Column) -> Column:
     """Ids of a valid reply in the order in which they were given to the model."""
     return F.filter(known, lambda k: F.array_contains(ids, k))

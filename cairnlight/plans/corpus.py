@@ -417,9 +417,8 @@ def sm6(spark, sf_dir):
 
 @query("SM1_SM3_hamilton", "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY ALL), e AS (SELECT lang, n, 96.0 * (n - 1) / (sum(n - 1) OVER ()) AS x FROM n), r AS (SELECT lang, 1 + floor(x) AS q, row_number() OVER (ORDER BY x - floor(x) DESC, lang) AS k, sum(1 + floor(x)) OVER () AS s FROM e) SELECT lang, CAST(q + CASE WHEN k <= 100 - s THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r")
 def sm1(spark, sf_dir):
-    """Quotas by largest remainder; one count per stratum reaches the driver."""
-    counts = {r["lang"]: r["count"] for r in docs(spark, sf_dir).groupBy("lang").count().collect()}
-    return spark.createDataFrame(sorted(S.hamilton(counts, 100).items()), "lang string, quota long")
+    """Quotas by largest remainder, over a table of one row per stratum."""
+    return S.hamilton_quotas(docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n")), "lang", "n", 100)
 
 
 @query("SM2_seeded_shuffle")

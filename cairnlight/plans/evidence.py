@@ -448,6 +448,55 @@ def dd6_evidence(spark, sf_dir):
     return disclosures(spark, sf_dir).select("case_id", errors(V.evidence_extraction(F.try_parse_json(by_kind(kinds)), records)))
 
 
+_PACKETS = [
+    "''",
+    _NO_FIELDS,
+    "'$.evidence[0]: fields'",
+    "'$.paragraphs[0].text: not_in_source'",
+    "'$.units[0]: fields; $.units: incomplete; $.units: counts'",
+    "'$.units[0]: link'",
+    "'$.units[0]: link'",
+    "'$.units[0].target_text: digest'",
+    "'$.units[0].source_quotes: not_in_source'",
+    "'$.units[0]: probability'",
+    "'$.units: duplicates; $.units: counts'",
+    "'$.units[0].unit_id: unknown; $.units: incomplete'",
+    "'$.units: counts'",
+]
+
+
+@query("SM8_packets", f"SELECT case_id, {expected(_PACKETS)} AS errors FROM (SELECT o_orderkey AS case_id FROM orders)")
+def sm8(spark, sf_dir):
+    """A packet with one unit for every order; its number decides which rule it breaks, if any."""
+    text, quote, id_ = F.col("text"), F.col("quote"), F.col("case_id").cast("string")
+
+    def unit(ref="Paragraph 01", target=quote, quoted=quote, name="HV1", kind="claim_support"):
+        return F.struct(F.lit(name).alias("unit_id"), F.lit(kind).alias("unit_type"), target.alias("target_text"), F.array(F.lit(ref)).alias("source_refs"), F.array(quoted).alias("source_quotes"))
+
+    def case(*units, paragraph=text, evidence=None, case_id=id_, **more):
+        shown = F.struct(F.lit("Evidence 01").alias("label"), F.lit("x").alias("context")) if evidence is None else evidence
+        return as_json(case_id=case_id, company_name=F.lit("c"), reporting_year=F.col("year"), task=F.lit("t"), disclosure_text=text, paragraphs=F.array(F.struct(F.lit("Paragraph 01").alias("ref"), paragraph.alias("text"))), evidence=F.array(shown), units=F.array(*units), **more)
+
+    kinds = [
+        case(unit()),
+        case(unit(), note=F.lit("")),
+        case(unit(), evidence=F.struct(F.lit("Evidence 01").alias("label"))),
+        case(unit(), paragraph=F.lit("Elsewhere.")),
+        case(F.struct(F.lit("HV1").alias("id"))),
+        case(unit("Paragraph 02")),
+        case(unit(), case_id=F.lit("other")),
+        case(unit(target=F.lit("Changed."))),
+        case(unit(quoted=F.lit("Invented."))),
+        case(unit()),
+        case(unit(), unit()),
+        case(unit(name="HV2")),
+        case(unit(kind="other")),
+    ]
+    p = F.when(F.pmod(F.col("case_id"), F.lit(len(kinds))) == 9, 1.5).otherwise(0.5)
+    mapping = F.array(F.struct(F.lit("HV1").alias("unit_id"), id_.alias("case_id"), F.sha2(quote, 256).alias("target_text_sha256"), p.alias("inclusion_probability")))
+    return disclosures(spark, sf_dir).select("case_id", errors(V.packet(F.try_parse_json(by_kind(kinds)), mapping, {"claim_support": 1})))
+
+
 # Prompts ----------------------------------------------------------------------------------------------------------
 
 _TITLES = dict(zip(("narrative", "pdf_table_row", "csv_metric"), P.GROUP_TITLES, strict=True))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairnlight.functions import chunking, folds
 from cairnlight.functions import text as X
 from cairnlight.operators import metrics as M
+from cairnlight.operators import sampling as S
 from cairnlight.plans.corpus import docs
 from cairnlight.plans.evaluation import METRICS, metrics
 from cairnlight.plans.fixtures import CARDS, CASES, CLAIMS, cards, cases, claims, read
@@ -128,14 +128,9 @@ def wn9(spark, sf_dir):
 
 @query("WN10_batches")
 def wn10(spark, sf_dir):
-    """Batches of a source's documents by count and size; the ids and sizes of one source go to one fold."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        return pd.DataFrame({"doc_id": pdf.doc_id, "batch": folds.batches(pdf["size"].tolist(), 16, 20_000)})
-
+    """Batches of a source's documents by count and size."""
     d = docs(spark, sf_dir).select("source", "doc_id", X.approximate_tokens(F.col("text")).alias("size"))
-    return d.groupBy("source").applyInPandas(fold, "doc_id long, batch int")
+    return S.batches(d, "source", "doc_id", "size", 16, 20_000)
 
 
 @query("SC21_paragraphs")
@@ -218,10 +213,9 @@ def sm9(spark, sf_dir):
 
 @query("SM5_water_filling")
 def sm5(spark, sf_dir):
-    """Two hundred further slots to the labels with the fewest claims; six counts reach the driver."""
-    have = {r["label"]: r["count"] for r in claims(spark, sf_dir).where("label is not null").groupBy("label").count().orderBy("label").collect()}
-    got = folds.water_fill(have, {k: 60 for k in have}, 200)
-    return spark.createDataFrame(sorted(got.items()), "label string, slots long")
+    """Two hundred further slots to the labels with the fewest claims."""
+    n = claims(spark, sf_dir).where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
+    return S.water_filled(n.withColumn("cap", F.lit(60)), "label", "n", "cap", "label", 200)
 
 
 @query("ST1_ST6_matrix_equality", f"WITH {CASES} SELECT count(DISTINCT company || '|' || year || '|' || task) AS actual, (SELECT count(DISTINCT company) * count(DISTINCT year) * count(DISTINCT task) FROM cases) AS expected FROM cases")
