@@ -13,7 +13,7 @@ from cairnlight.llm.align import components, similarity_at_least
 from cairnlight.llm.common import id_type, map_rows, materialize
 
 #: Words in a shingle, sketches of a text, shingles in a sketch.
-SHINGLE, SKETCHES, TAKEN = 5, 40, 2
+SHINGLE, SKETCHES, TAKEN = 5, 80, 2
 #: Hashes that the sketches of a text are chosen from at a time.
 CELLS = 1_000_000
 #: Largest bucket whose pairs are rows; a larger one is dealt out in blocks of about ``BLOCK`` texts.
