@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlight.llm import common
 from cairnlight.llm.align import components, similarity_at_least
-from cairnlight.llm.common import id_type, map_rows, materialize
+from cairnlight.llm.common import id_type, map_rows
 
 #: Words in a shingle, sketches of a text, shingles in a sketch.
 SHINGLE, SKETCHES, TAKEN = 5, 80, 2
@@ -18,8 +20,12 @@ SHINGLE, SKETCHES, TAKEN = 5, 80, 2
 CELLS = 1_000_000
 #: Largest bucket whose pairs are rows; a larger one is dealt out in blocks of about ``BLOCK`` texts.
 CROWD, BLOCK = 32, 128
-#: Rows of blocks that one call of Python takes, on average.
-LOT = 2_000
+#: Rows of blocks, and words of texts, that one call of Python takes, on average.
+LOT, LOT_WORDS = 2_000, 4_000
+#: Texts with a word up to which they meet in one call; those of a more frequent word are dealt out in blocks.
+HOT = 2_048
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = 16_000_000
 #: Counters of a text's bag of hashed words, and of the texts that have a hashed word.
 BAG, COUNTERS = 256, 1 << 21
 #: Least similarity: 1 - word edit distance / words of the longer text.
@@ -31,6 +37,10 @@ _OFFSETS = _rng.integers(1 << 62, size=256, dtype=np.uint64)
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    return common.materialize(df, batch_bytes=BATCH_BYTES)
+
+
 def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Hashes of all shingles, each joined with how often the same shingle came before."""
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
@@ -241,28 +251,81 @@ def rarest(words: list[bytes], counts: np.ndarray, least: float) -> np.ndarray:
     return np.sort(tokens[first[seen[first] > 1]].view(np.int64))
 
 
-def _crowded(many: DataFrame, comp: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Edges (u, v) that join the components of all similar texts among ``many``, with (node, n), from crowded buckets.
+def _near(node: list, n: np.ndarray, comp: list, bag: np.ndarray, key: list[np.ndarray], meetings: Iterable[tuple[int, np.ndarray, np.ndarray | None]], least: float) -> pa.Table:
+    """Candidates of texts that meet under a word: on the left and on the right, or all with each other.
 
-    A text goes to each of its rarest words, so a passage that all share brings none of them together. Of a word with
-    several components, members outside the largest are dealt into blocks, and so are those inside; each of the former
-    blocks meets all blocks. A pair is left to the smallest word that its texts share, and is aligned unless it is
-    in one component already or the word bags alone rule it out, so the result is that of all pairs. Rows grow with
-    the square of the texts over ``BLOCK`` only where the rarest words of many unlike texts are the same. A pair of
-    blocks gives fewer edges than it has texts.
+    Texts of one component are not paired, nor those of too different sizes or bags. A pair is left to the smallest word
+    that both texts have. One row: the texts in use, and pairs of their places, the nearest first, so that each that
+    aligns spares the pairs that it makes one component.
     """
-    marked = materialize(texts.join(many, "node"))
-    counts = marked.sparkSession.sparkContext.broadcast(_word_counts(marked))
-
-    def mark_task():
-        def per_row(node, text):
-            words = text.split()
-            return node, word_bag(words), rarest(words, counts.value, least).tolist()
-
-        return per_row
-
-    bags = materialize(map_rows(marked.select("node", "text"), mark_task, "node binary, bag binary, keys array<long>", binary=["text"]))
-    own = bags.select("node", F.explode("keys").alias("bucket")).join(many, "node")
+    names = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+    of = np.array([names[c] for c in comp])
+    found = []
+    for word, left, right in meetings:
+        for place, u in enumerate(left):
+            v = left[place + 1 :] if right is None else right
+            v = v[(of[v] != of[u]) & (np.minimum(n[v], n[u]) >= np.maximum(n[v], n[u]) * least - 1e-9)]
+            if not len(v):
+                continue
+            apart = bag[v] - bag[u]
+            edits = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+            fits = edits <= (np.maximum(n[v], n[u]) * (1 - least) + 1e-9).astype(np.int64)
+            near = zip(edits[fits].tolist(), v[fits].tolist(), strict=True)
+            found += [(e, int(u), x) for e, x in near if np.intersect1d(key[u], key[x], assume_unique=True)[0] == word]
+    found.sort()
+    used = sorted({x for _, u, v in found for x in (u, v)})
+    place = {x: k for k, x in enumerate(used)}
+    flat = [place[x] for _, u, v in found for x in (u, v)]
+    members = [{"node": node[x], "comp": int(of[x])} for x in used]
+    return pa.Table.from_pydict({"members": [members] if used else [], "pairs": [flat] if used else []}, schema=_CANDIDATES)
+
+
+def _bags(packed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), "<u2").reshape(-1, BAG).astype(np.int32)
+
+
+def _met(bags: DataFrame, comp: DataFrame, least: float) -> DataFrame:
+    """Candidates (members, pairs) of texts that meet under a word of ``cold``: of at most ``HOT`` texts.
+
+    A task packs its texts and their words by lots of words, and a lot takes a call of Python, so texts are sent once for
+    a lot and task, not as a row for each word.
+    """
+    lots = (bags.agg(F.sum(F.size("cold"))).first()[0] or 0) // LOT_WORDS + 1
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(k, 4096) for b in batches for k in range(0, b.num_rows, 4096)):
+            cold, size = part["cold"], np.diff(np.asarray(part["cold"].offsets))
+            words = np.asarray(cold.flatten())
+            text = np.repeat(np.arange(part.num_rows), size)
+            lot = ((words.view(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % lots
+            order = np.argsort(lot, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(lot[order])) + 1):
+                if len(own):
+                    rows, at = np.unique(text[own], return_inverse=True)
+                    texts = part.select(["node", "n", "comp", "bag", "keys"]).take(pa.array(rows)).to_struct_array()
+                    lists = [pa.array([int(lot[own[0]])], pa.int64()), pa.ListArray.from_arrays([0, len(rows)], texts), pa.ListArray.from_arrays([0, len(own)], pa.array(words[own])), pa.ListArray.from_arrays([0, len(own)], pa.array(at.astype(np.int32)))]
+                    yield pa.RecordBatch.from_arrays(lists, names=["lot", "texts", "words", "at"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        sizes = np.array([len(x) for x in group["texts"]])
+        texts = group["texts"].combine_chunks().flatten()
+        at = np.concatenate([np.array(x.as_py(), np.int64) + s for x, s in zip(group["at"], np.cumsum(sizes) - sizes, strict=True)])
+        words = np.concatenate([np.array(x.as_py(), np.int64) for x in group["words"]])
+        order = np.argsort(words, kind="stable")
+        begins = np.flatnonzero(np.append(True, words[order][1:] != words[order][:-1]))
+        meetings = ((int(words[own[0]]), at[own], None) for own in np.split(order, begins[1:]) if len(own) > 1)
+        column = lambda name: texts.field(name).to_pylist()
+        return _near(column("node"), np.array(column("n"), np.int64), column("comp"), _bags(column("bag")), [np.array(k, np.int64) for k in column("keys")], meetings, least)
+
+    named = bags.join(comp, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), "bag", "keys", "cold")
+    packed = named.mapInArrow(pack, "lot long, texts array<struct<node:binary,n:int,comp:binary,bag:binary,keys:array<long>>>, words array<long>, at array<int>")
+    return packed.groupBy("lot").applyInArrow(meet, "members array<struct<node:binary,comp:int>>, pairs array<int>")
+
+
+def _met_hot(bags: DataFrame, comp: DataFrame, least: float) -> DataFrame:
+    """``_met`` for the words of ``hot``. Of a word with several components, members outside the largest are dealt into
+    blocks, and so are those inside; each of the former blocks meets all blocks."""
+    own = bags.select("node", F.explode("hot").alias("bucket"))
     own = materialize(own.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     sizes = own.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("main"), F.sum("k").alias("size"))
@@ -277,43 +340,53 @@ def _crowded(many: DataFrame, comp: DataFrame, texts: DataFrame, least: float) -
     own = own.join(sizes, "bucket").withColumn("own", F.when(inside, F.col("outer") + F.pmod(salt, "inner")).otherwise(F.pmod(salt, "outer")).cast("int"))
     last = F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
-        "bucket", "node", "n", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        "bucket", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
     def candidates(group: pa.Table) -> pa.Table:
-        node, home = group["node"].to_pylist(), np.array(group["own"])
-        n, word = np.array(group["n"], np.int64), np.array(group["bucket"], np.int64)
+        home, word = np.array(group["own"]), np.array(group["bucket"], np.int64)
         low, high = np.array(group["i"]), np.array(group["j"])
-        names = {c: k for k, c in enumerate(dict.fromkeys(group["comp"].to_pylist()))}
-        of = np.array([names[c] for c in group["comp"].to_pylist()])
-        bag = np.frombuffer(b"".join(group["bag"].to_pylist()), "<u2").reshape(len(node), BAG).astype(np.int32)
-        key = [np.array(x, np.int64) for x in group["keys"].to_pylist()]
-        order, found = np.lexsort((high, low, word)), []
+        order = np.lexsort((high, low, word))
         new = np.any([x[order][1:] != x[order][:-1] for x in (word, low, high)], axis=0)
-        for met in np.split(order, np.flatnonzero(new) + 1):
-            lower, upper = low[met[0]], high[met[0]]
-            right = met[home[met] == upper]
-            for place, u in enumerate(met[home[met] == lower]):
-                v = right[place + 1 :] if lower == upper else right
-                v = v[(of[v] != of[u]) & (np.minimum(n[v], n[u]) >= np.maximum(n[v], n[u]) * least - 1e-9)]
-                if not len(v):
-                    continue
-                apart = bag[v] - bag[u]
-                edits = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
-                fits = edits <= (np.maximum(n[v], n[u]) * (1 - least) + 1e-9).astype(np.int64)
-                near = zip(edits[fits].tolist(), v[fits].tolist(), strict=True)
-                found += [(e, int(u), x) for e, x in near if np.intersect1d(key[u], key[x], assume_unique=True)[0] == word[u]]
-        # The nearest first: each that aligns spares the pairs that it makes one component.
-        found.sort()
-        used = sorted({x for _, u, v in found for x in (u, v)})
-        place = {x: k for k, x in enumerate(used)}
-        flat = [place[x] for _, u, v in found for x in (u, v)]
-        members = [{"node": node[x], "comp": int(of[x])} for x in used]
-        return pa.Table.from_pydict({"members": [members] if used else [], "pairs": [flat] if used else []}, schema=_CANDIDATES)
+
+        def meetings():
+            for met in np.split(order, np.flatnonzero(new) + 1):
+                lower, upper = low[met[0]], high[met[0]]
+                yield int(word[met[0]]), met[home[met] == lower], None if lower == upper else met[home[met] == upper]
+
+        key = [np.array(x, np.int64) for x in group["keys"].to_pylist()]
+        return _near(group["node"].to_pylist(), np.array(group["n"], np.int64), group["comp"].to_pylist(), _bags(group["bag"].to_pylist()), key, meetings(), least)
 
     dealt = materialize(dealt)
     lot = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(dealt.count() // LOT + 1)).alias("lot")
-    close = dealt.join(bags, "node").groupBy(lot).applyInArrow(candidates, "members array<struct<node:binary,comp:int>>, pairs array<int>")
+    return dealt.join(bags.select("node", "n", "bag", "keys"), "node").groupBy(lot).applyInArrow(candidates, "members array<struct<node:binary,comp:int>>, pairs array<int>")
+
+
+def _crowded(many: DataFrame, comp: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) that join the components of all similar texts among ``many``, with (node, n), from crowded buckets.
+
+    A text meets others under each of its rarest words, so a passage that all share brings none of them together. Pairs
+    are aligned unless they are in one component already or the word bags alone rule them out, so the result is that of
+    all pairs. Words of over ``HOT`` texts are dealt out in blocks: there rows grow with the square of the texts over
+    ``BLOCK``, where the rarest words of many unlike texts are the same.
+    """
+    marked = materialize(texts.join(many, "node"))
+    counts = marked.sparkSession.sparkContext.broadcast(_word_counts(marked))
+
+    def mark_task():
+        def per_row(node, n, text):
+            words = text.split()
+            keys = rarest(words, counts.value, least)
+            hot = counts.value[_cells(keys.view(np.uint64))] > HOT
+            return node, n, word_bag(words), keys.tolist(), keys[~hot].tolist(), keys[hot].tolist()
+
+        return per_row
+
+    bags = materialize(map_rows(marked.select("node", "n", "text"), mark_task, "node binary, n int, bag binary, keys array<long>, cold array<long>, hot array<long>", binary=["text"]))
+    close = _met(bags, comp, least)
+    hot = bags.where(F.size("hot") > 0)
+    if not hot.isEmpty():
+        close = close.unionByName(_met_hot(hot, comp, least))
     close = materialize(close.withColumn("task", F.monotonically_increasing_id()))
     placed = close.select("task", F.posexplode("members").alias("place", "m")).select("task", "place", "m.node", "m.comp").join(texts, "node")
     lists = close.select("task", F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("node"), F.lit(None).cast("int").alias("comp"), F.lit(None).cast("string").alias("text"), "pairs")

@@ -242,6 +242,35 @@ def test_op3_recall(spark, shared):
     assert not any(got[2 * i + 1] not in (2 * i, 2 * i + 1) for i in range(300))
 
 
+@pytest.mark.parametrize("changed", [18, 20, 22, 24])
+def test_op3_recall_at_the_bound(changed):
+    """Of pairs of 120 words with so many single words changed (similarity 0.85 to 0.80), nine of ten share a sketch."""
+    rnd, shared = random.Random(changed), 0
+    word = lambda: f"w{rnd.randrange(10**7)}".encode()
+    for _ in range(300):
+        a = [word() for _ in range(120)]
+        b = list(a)
+        for k in rnd.sample(range(120), changed):
+            b[k] = word()
+        x, y = (set(neardup.order_sketches(neardup.shingle_hashes(t))) for t in (a, b))
+        shared += bool(x & y)
+    assert shared >= 270, shared
+
+
+@pytest.mark.parametrize(("hot", "lots"), [(neardup.HOT, neardup.LOT_WORDS), (3, 50), (0, 1)])
+def test_op3_words_of_many_texts(spark, monkeypatch, hot, lots):
+    """Unlike texts of one passage and few words, with near copies: blocks of frequent words and packed lots find the same."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    monkeypatch.setattr(neardup, "LOT_WORDS", lots)
+    rnd = random.Random(11)
+    passage, few = [f"p{i}" for i in range(60)], [f"v{i}" for i in range(300)]
+    words = [passage + rnd.choices(few, k=60) for _ in range(200)]
+    words += [[*w[:-1], "end"] for w in words[:40]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").class_id
+    assert all(got[200 + i] == i for i in range(40)) and got.nunique() == 200
+
+
 def test_op3_edges(spark, edge):
     got = neardup.near_duplicates(edge).toPandas()
     assert len(got) == len(EDGE) and got.keep.sum() == 6
