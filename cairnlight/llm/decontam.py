@@ -13,8 +13,9 @@ from cairnlight.llm.common import discard, id_type, map_rows, materialize
 
 #: Words in a window.
 WINDOW = 10
-#: Bytes of benchmark text that one pass takes; a larger benchmark is searched in several passes.
-BLOCK_BYTES = 32_000_000
+#: Bytes of benchmark text that one pass takes; a larger benchmark is searched in several passes. A search takes about
+#: 200 times as much memory in each worker.
+BLOCK_BYTES = 2_000_000
 
 #: Byte table: A-Z lower-cased, every other byte outside 0-9, a-z and non-ASCII made a blank.
 _FOLD = bytes(
