@@ -17,6 +17,8 @@ from cairnlight.llm.common import ascii_lower, materialize
 
 #: Longest word that a host label is cut into.
 LONGEST = 24
+#: Letters of a label whose substrings are taken at a time.
+CHUNK = 256
 #: Buckets of hashed tokens for each class.
 BUCKETS = 1 << 16
 #: Added to each bucket's count.
@@ -78,26 +80,20 @@ def page_words(html: Column) -> Column:
 def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
     """(host, host_words) for distinct ``hosts``, given counts (word, n) of a corpus.
 
-    Labels are what lies between characters that are neither letters nor digits. Each distinct label sends its substrings of up to ``LONGEST`` letters to a join with the counts; a label's own
-    substrings come back together, at most ``LONGEST`` for each letter.
+    Labels are what lies between characters that are neither letters nor digits. Each distinct label sends its substrings
+    of up to ``LONGEST`` letters, at most ``LONGEST`` for each letter, to a join with the counts. They carry the label's
+    digest only, and are taken from chunks of ``CHUNK`` letters, so time and rows grow with the length of a label, however
+    long it is.
     """
     total = words.agg(F.sum("n")).first()[0] or 0
     parts = hosts.select("host", F.posexplode(F.split("host", r"[^\p{L}\p{N}]+")).alias("k", "label")).where("label <> ''")
-    labels = parts.select("label").distinct()
-    substrings = labels.select(
-        "label",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length("label"), F.lit(1))),
-                        lambda i: F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.substring(F.col("label"), i, n)),
-                    )
-                )
-            )
-        ).alias("word"),
-    )
-    known = substrings.join(words, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    labels = parts.select("label").distinct().withColumn("key", F.unhex(F.sha2("label", 256)))
+    starts = F.sequence(F.lit(0), F.floor((F.length("label") - 1) / CHUNK).cast("int"))
+    chunks = labels.select("key", F.explode(F.transform(starts, lambda i: F.substring(F.col("label"), i * CHUNK + 1, CHUNK + LONGEST - 1))).alias("chunk"))
+    sizes = F.sequence(F.lit(1), F.lit(LONGEST))
+    pieces = F.transform(F.sequence(F.lit(1), F.least(F.length("chunk"), F.lit(CHUNK))), lambda i: F.transform(sizes, lambda n: F.substring(F.col("chunk"), i, n)))
+    substrings = chunks.select("key", F.explode(F.array_distinct(F.flatten(pieces))).alias("word"))
+    known = substrings.join(words, "word").groupBy("key").agg(F.collect_set(F.struct("word", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def cut(label: pd.Series, known: pd.Series) -> pd.Series:
@@ -105,7 +101,7 @@ def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
             [segment(x, {r["word"]: r["n"] for r in k} if k is not None else {}, total) for x, k in zip(label, known, strict=True)]
         )
 
-    cuts = labels.join(known, "label", "left").select("label", cut("label", "known").alias("words"))
+    cuts = labels.join(known, "key", "left").select("label", cut("label", "known").alias("words"))
     rows = parts.join(cuts, "label").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "words"))).alias("a"))
     return rows.select("host", F.flatten(F.transform("a", lambda x: x["words"])).alias("host_words"))
 
@@ -155,7 +151,8 @@ def judge_urls(
 
     Word counts come from all pages. Rows that a rule decides train the classifier and keep the rule's verdict. A URL
     without tokens (null, or no ``://`` and so no host) is allowed with odds 0, a tie is allowed, and without any
-    decided rows the odds are 0. Null pages add no words. Equal rows get equal verdicts.
+    decided rows the odds are 0. Null pages add no words. Equal rows get equal verdicts. Very long hosts and paths are
+    judged whole; other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))

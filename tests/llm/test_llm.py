@@ -115,6 +115,22 @@ def test_op2_edges(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string"), []).count() == 0
 
 
+def test_op2_long_hosts_and_clashing_columns(spark):
+    """Hosts of 200,000 letters with known words at the seams of the chunks, and columns named like those of the operator."""
+    rnd = random.Random(14)
+    junk = "".join(rnd.choice("qxzj") for _ in range(200_000))
+    place = [urlfilter.CHUNK * k - 5 for k in (1, 2, 300)]
+    for k in place:
+        junk = junk[:k] + "greenhouse" + junk[k + 10 :]
+    rows = [(1, f"http://{junk}.com/en/1", "<p>greenhouse greenhouse house green"), (2, "http://greenhouse.com/x", None), (3, None, ""), (2, "http://greenhouse.com/x", None)]
+    pages = spark.createDataFrame([(*r, "h", "w", 1, "k", "b", "v") for r in rows], "page_id long, url string, html string, host string, word string, n int, label string, key string, verdict string")
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(pages, queries.URL_RULES).collect()}
+    assert len(got) == 3 and got[2]["host_words"][0] == "greenhouse" and got[1]["host"] == junk + ".com"
+    assert "".join(got[1]["host_words"]) == junk + "com" and got[1]["host_words"].count("greenhouse") == 3
+    counts = {"greenhouse": 2, "house": 1, "green": 1}
+    assert got[1]["host_words"] == urlfilter.segment(junk, counts, 4) + urlfilter.segment("com", counts, 4)
+
+
 def test_op2_odds(spark):
     """Words of hosts and log odds against plain counts over the decided URLs; labels are cut at hyphens."""
     hosts = ["casino-win.com", "cheap-pills.net", "newsdaily.org", "b.news-daily.org", "pills.com"]
@@ -385,6 +401,17 @@ def test_op6_brute_force_and_blocks(spark, edge):
     assert decontam.decontaminate(edge, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_op6_more_than_a_block(spark):
+    """A benchmark of over one block of the default size: every item is found, and a worker's search stays small."""
+    rnd = random.Random(13)
+    items = [" ".join(f"w{rnd.randrange(10**5)}" for _ in range(200)) for _ in range(1700)]
+    assert decontam.BLOCK_BYTES < sum(map(len, items)) < 2 * decontam.BLOCK_BYTES
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    docs = spark.createDataFrame([(i, f"x {t[len(t) // 2 :]} y") for i, t in enumerate(items[::17])] + [(-1, "clean text")], "doc_id int, text string")
+    got = decontam.decontaminate(docs, bench).select("doc_id", "item_ids").collect()
+    assert {r["doc_id"]: r["item_ids"] for r in got} == {i: [str(17 * i)] for i in range(100)} | {-1: []}
+
+
 # 7
 
 
@@ -735,6 +762,36 @@ def test_op10_wrapped_headers(spark):
 # pipeline
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty, repeated, equal-id and very long texts through all stages, and an empty table."""
+    rnd = random.Random(15)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    a, b, long = text(60), text(60), text(30_000)
+    texts = [None, "", "two words", a, a, a + " more", b, long, f"{text(40)} password = s3cretS3cret99 {text(20)}", f"{text(30)} one two three four five six seven eight nine ten {text(30)}"]
+    rows = [(i if i != 6 else 3, t, "en" if i % 2 else None, "s" if i % 3 else None, len(t or "")) for i, t in enumerate(texts)] + [(4, a, "en", None, len(a))]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    # No trusted document, so that every ratio is 0 and only the base rules reject.
+    spark.createDataFrame([(7, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert n == 4 or out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"stage{n}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{n}"))
+        kept.append(docs.toPandas())
+    assert sorted(kept[0].doc_id) == [3, 3, 4, 4, 5, 7, 8, 9]
+    assert sorted(kept[1].doc_id) == [3, 3, 7, 8, 9] and set(kept[1].text) >= {a, b, long}
+    assert sorted(kept[2].doc_id) == sorted(kept[3].doc_id) == [3, 3, 7, 8]
+    assert "s3cretS3cret99" not in " ".join(kept[3].text) and long in set(kept[3].text)
+    pieces = kept[4].groupby("doc_id").length.sum()
+    assert set(pieces.index) == {3, 7, 8} and kept[4].groupby("sequence_id").length.sum().max() <= 1024
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
