@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of ``documents``, and works on all rows that the
 stage before it kept. The last returns packed pieces. Null texts: the quality rules reject them. Empty tables give
-empty tables. Repeated rows are judged alike, and one of them stays after the second stage.
+empty tables. Repeated rows are judged alike, and one of them stays after the second stage: of a class of near-duplicates
+that with the smallest id, of rows equal in id and text any one. Very long texts go through whole. ``docs`` has the columns
+of ``documents`` and keeps them; names that an operator uses itself do no harm.
 """
 
 from __future__ import annotations
