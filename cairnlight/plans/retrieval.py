@@ -87,7 +87,7 @@ def rt1(spark, sf_dir):
 
 @query("RT2_bm25_score", f"WITH {BM25} SELECT query_id, company_id, evidence_id, round(score, 6) AS score FROM sc")
 def rt2(spark, sf_dir):
-    s = R.bm25_scores(cards(spark, sf_dir), subqueries(spark, sf_dir), "company_id")
+    s = R.all_bm25(cards(spark, sf_dir), subqueries(spark, sf_dir), "company_id")
     return s.select("query_id", "company_id", "evidence_id", F.round("score", 6).alias("score"))
 
 

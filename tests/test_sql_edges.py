@@ -3,8 +3,11 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from cairnlight.operators import retrieval as R
 from cairnlight.plans import catalog
 from cairnlight.plans import evidence as E
 
@@ -68,3 +71,31 @@ def test_quotes_by_lines_beside_whole_ones(spark, tmp_path):
     assert ("full_disclosure" in {r[1] for r in same_as_sql(spark, folder, "SC20_review_excerpts")})
     found = {r["doc_id"]: (r["mode"], r["unresolved"]) for r in catalog.QUERIES["SC20_review_lines"](spark, folder).collect()}
     assert found[2] == ("verbatim_line_segments", 0)
+
+
+def test_all_bm25_scores_without_a_shuffle(spark, tmp_path, monkeypatch):
+    words = "red green blue the of and".split()
+    rows = [(f"d{i}", None if i % 11 == 0 else f"c{i % 3}", None if i % 7 == 0 else " ".join(words[j % 6] for j in range(i % 9))) for i in range(60)]
+    cards = spark.createDataFrame(rows, "evidence_id string, company_id string, text string").where("company_id is not null")
+    queries = spark.createDataFrame([(1, "red the"), (2, "unknown"), (3, "blue blue of")], "query_id long, text string")
+    found = lambda df: {(r[0], r[1], r[2]): r[3] for r in df.select("query_id", "company_id", "evidence_id", "score").collect()}
+    small, large = R.all_bm25(cards, queries, "company_id"), R.bm25_scores(cards, queries, "company_id")
+    assert found(small) == pytest.approx(found(large), abs=1e-8) and found(small)
+    assert R.all_bm25(cards.limit(0), queries, "company_id").count() == R.all_bm25(cards, queries.limit(0), "company_id").count() == 0
+    folder = written(tmp_path, documents=[{"doc_id": i, "source": p, "text": t, "lang": "en"} for i, (_, p, t) in enumerate(rows) if p], benchmark=[{"item_id": 1, "text": "red the"}])
+    plan = catalog.QUERIES["RT2_bm25_score"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    monkeypatch.setattr(R, "TABLE_CELLS", 1)
+    assert found(R.all_bm25(cards, queries, "company_id")) == pytest.approx(found(large), abs=1e-8)
+
+
+def test_a_pool_is_scored_a_few_rows_at_a_time(spark):
+    rows = spark.range(5000).selectExpr("'p' AS pool", "id")
+
+    def score(batch):
+        if batch.num_rows > 512:
+            raise ValueError(batch.num_rows)
+        return np.array(batch.column(1).to_pylist(), float)[:, None] % 1000
+
+    best = R._best(rows, score, [1], "long", "pool", "id", 6).orderBy("rank").collect()
+    assert [r["id"] for r in best] == [999, 1999, 2999, 3999, 4999, 998]
