@@ -57,6 +57,12 @@ def broken(*rules: Rule) -> Column:
     return F.concat(*(F.when(c, _error(path, rule)).otherwise(_none()) for c, path, rule in rules))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once: a list of one binds it to a name. In an expression without a name every
+    mention works it out anew."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def unless(*rules: Rule, then: Column) -> Column:
     """The error of the first rule whose condition holds, else ``then``: for shapes that later rules rely on."""
     out = None
@@ -71,8 +77,7 @@ def each(items: Column, path: Column, check: Callable[[Column, Column], Column])
 
 
 def _root(reply: Column, names: Sequence[str], then: Callable[[Column], Column]) -> Column:
-    m = as_object(reply)
-    return unless((m.isNull(), F.lit("$"), "object"), (~_fields(m, names), F.lit("$"), "fields"), then=then(m))
+    return let(as_object(reply), lambda m: unless((m.isNull(), F.lit("$"), "object"), (~_fields(m, names), F.lit("$"), "fields"), then=then(m)))
 
 
 def _fields(m: Column, names: Sequence[str]) -> Column:
@@ -198,13 +203,16 @@ def partition(reply: Column, unit_ids: Column) -> Column:
     """Groups that together have each unit once, each with one of its members as the canonical one."""
 
     def root(m: Column) -> Column:
-        groups, path = as_list(part(m, "groups")), F.lit("$.groups")
-        members = F.transform(groups, lambda g: ids_of(part(as_object(g), "member_unit_ids")))
+        path = F.lit("$.groups")
+        named = lambda groups: F.struct(groups.alias("groups"), F.transform(groups, lambda g: ids_of(part(as_object(g), "member_unit_ids"))).alias("members"))
+        return let(as_list(part(m, "groups")), lambda groups: let(named(groups), lambda v: rules(v["groups"], v["members"], path)))
 
+    def rules(groups: Column, members: Column, path: Column) -> Column:
         def check(x: Column, i: Column) -> Column:
             at = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-            o, ids = as_object(x), F.get(members, i)
-            canonical = as_text(part(o, "canonical_unit_id"))
+            return let(as_object(x), lambda o: let(F.struct(as_text(part(o, "canonical_unit_id")).alias("c"), F.get(members, i).alias("ids")), lambda v: group(o, v["c"], v["ids"], i, at)))
+
+        def group(o: Column, canonical: Column, ids: Column, i: Column, at: Column) -> Column:
             before = F.flatten(F.filter(F.slice(members, F.lit(1), i), lambda a: a.isNotNull()))
             own = unless(
                 (_empty(canonical), _at(at, "canonical_unit_id"), "empty"),
@@ -294,18 +302,23 @@ def packet(case: Column, mapping: Column, quotas: dict[str, int]) -> Column:
     """
 
     def root(m: Column) -> Column:
-        text = F.coalesce(as_text(part(m, "disclosure_text")), F.lit(""))
-        case_id = as_text(part(m, "case_id"))
-        evidence, blocks, units = (as_list(part(m, x)) for x in ("evidence", "paragraphs", "units"))
+        read = {x: as_list(part(m, x)) for x in ("evidence", "paragraphs", "units")}
+        named = F.struct(F.coalesce(as_text(part(m, "disclosure_text")), F.lit("")).alias("text"), as_text(part(m, "case_id")).alias("case_id"), *(v.alias(k) for k, v in read.items()))
+        return let(named, listed)
+
+    def listed(v: Column) -> Column:
         names = lambda items, field: F.coalesce(F.transform(items, lambda x: as_text(part(as_object(x), field))), _none())
-        refs = F.concat(names(blocks, "ref"), names(evidence, "label"))
-        ids = names(units, "unit_id")
+        refs = F.concat(names(v["paragraphs"], "ref"), names(v["evidence"], "label"))
+        return let(F.struct(refs.alias("refs"), names(v["units"], "unit_id").alias("ids"), names(v["units"], "unit_type").alias("kinds")), lambda w: rules(v, w))
+
+    def rules(v: Column, w: Column) -> Column:
+        text, case_id, evidence, blocks, units = (v[x] for x in ("text", "case_id", "evidence", "paragraphs", "units"))
+        refs, ids, kinds = w["refs"], w["ids"], w["kinds"]
         known = F.transform(mapping, lambda r: r["unit_id"])
 
         def closed(fields: Sequence[str], then: Callable[[Column, Column], Column] | None = None) -> Callable[[Column, Column], Column]:
             def check(x: Column, at: Column) -> Column:
-                o = as_object(x)
-                return unless((o.isNull(), at, "object"), (~_fields(o, fields), at, "fields"), then=then(o, at) if then else _none())
+                return let(as_object(x), lambda o: unless((o.isNull(), at, "object"), (~_fields(o, fields), at, "fields"), then=then(o, at) if then else _none()))
 
             return check
 
@@ -313,7 +326,10 @@ def packet(case: Column, mapping: Column, quotas: dict[str, int]) -> Column:
             return broken((~F.coalesce(text.contains(as_text(part(o, "text"))), F.lit(False)), _at(at, "text"), "not_in_source"))
 
         def unit(o: Column, at: Column) -> Column:
-            record = F.get(F.filter(mapping, lambda r: r["unit_id"] == as_text(part(o, "unit_id"))), F.lit(0))
+            named = let(as_text(part(o, "unit_id")), lambda own: F.get(F.filter(mapping, lambda r: r["unit_id"] == own), F.lit(0)))
+            return let(named, lambda record: linked(o, at, record))
+
+        def linked(o: Column, at: Column, record: Column) -> Column:
             p = record["inclusion_probability"]
             own = broken(
                 (~record["case_id"].eqNullSafe(case_id) | F.coalesce(F.size(F.array_except(ids_of(part(o, "source_refs")), refs)) > 0, F.lit(True)), at, "link"),
@@ -323,7 +339,6 @@ def packet(case: Column, mapping: Column, quotas: dict[str, int]) -> Column:
             )
             return unless((record.isNull(), _at(at, "unit_id"), "unknown"), then=own)
 
-        kinds = names(units, "unit_type")
         times = lambda name: F.size(F.filter(kinds, lambda k: k == name))
         counts = [times(name) != n for name, n in quotas.items()]
         other = F.size(F.array_except(kinds, F.array(*map(F.lit, quotas)))) > 0

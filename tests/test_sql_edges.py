@@ -99,3 +99,10 @@ def test_a_pool_is_scored_a_few_rows_at_a_time(spark):
 
     best = R._best(rows, score, [1], "long", "pool", "id", 6).orderBy("rank").collect()
     assert [r["id"] for r in best] == [999, 1999, 2999, 3999, 4999, 998]
+
+
+@pytest.mark.parametrize(("name", "what", "most"), [("SM8_packets", "parsejson", 1), ("DD6_partition_replies", "parsejson", 1)])
+def test_costly_values_are_worked_out_once(spark, name, what, most):
+    """An expression that a plan mentions many times is worked out as often."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.replace("parse_json", "parsejson").count(what) <= most
