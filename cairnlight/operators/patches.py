@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnlight.functions.canonical import json_text
+from cairnlight.operators.validators import let
 
 _S = T.StringType()
 
@@ -42,23 +43,22 @@ def patched(label: Column, claims: Column, edits: Column, additions: Column) ->
     """
     claims, additions = (F.coalesce(c, F.array().cast(CLAIMS)) for c in (claims, additions))
     edits = F.coalesce(edits, F.array().cast(EDITS))
-    index = F.transform(F.arrays_zip(claim_ids(label, claims).alias("id"), claims["claim_text"].alias("text")), lambda x: x)
-
-    # What depends on the whole index is worked out once per edit, in a struct.
-    def addressed(e: Column) -> Column:
+    # What is used more than once is bound to a name: the index of the claims, the places of each edit, result and errors.
+    def addressed(e: Column, index: Column) -> Column:
         at = F.transform(e["replaces"], lambda r: F.array_position(index["id"], r["claim_id"]).cast("int"))
         right = F.transform(e["replaces"], lambda r: F.exists(index, lambda x: (x["id"] == r["claim_id"]) & (x["text"] == r["expected_claim_text"])))
         return F.struct(at.alias("at"), right.alias("right"), e["claims"].alias("claims"))
 
     def with_places(found: Column) -> Column:
-        places = F.flatten(found["at"])
-
         def taken(c: Column, i: Column) -> Column:
             owner = F.filter(found, lambda e: F.array_contains(e["at"], i + 1))
             first = F.get(owner, F.lit(0))
             return F.when(F.size(owner) == 0, F.array(c)).when(F.array_min(first["at"]) == i + 1, first["claims"]).otherwise(F.array().cast(CLAIMS))
 
-        result = F.concat(F.flatten(F.transform(claims, taken)), additions)
+        return let(F.concat(F.flatten(F.transform(claims, taken)), additions), lambda result: judged(found, result))
+
+    def judged(found: Column, result: Column) -> Column:
+        places = F.flatten(found["at"])
         rules = {
             "unknown_id": F.array_contains(places, 0),
             "text_differs": F.exists(found, lambda e: F.exists(F.arrays_zip(e["at"].alias("at"), e["right"].alias("right")), lambda x: (x["at"] > 0) & ~F.coalesce(x["right"], F.lit(False)))),
@@ -67,10 +67,10 @@ def patched(label: Column, claims: Column, edits: Column, additions: Column) ->
             "empty_claim": F.exists(result, lambda c: F.length(F.regexp_replace(F.coalesce(c["claim_text"], F.lit("")), r"(?U)\s+", "")) == 0),
         }
         errors = F.array_compact(F.array(*(F.when(broken, rule) for rule, broken in rules.items())))
-        return F.struct(errors.alias("errors"), F.when(F.size(errors) == 0, result).alias("claims"))
+        return let(errors, lambda e: F.struct(e.alias("errors"), F.when(F.size(e) == 0, result).alias("claims")))
 
-    # A list of one binds the worked-out edits to a name.
-    return F.get(F.transform(F.array(F.transform(edits, addressed)), with_places), F.lit(0))
+    index = F.arrays_zip(claim_ids(label, claims).alias("id"), claims["claim_text"].alias("text"))
+    return let(index, lambda known: let(F.transform(edits, lambda e: addressed(e, known)), with_places))
 
 
 def replay(calls: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -132,8 +132,10 @@ def compared(baseline: DataFrame, revised: DataFrame, keys: list[str]) -> DataFr
     cols = ["source", "settings", "call_status", "claims"]
     b, r = (df.select(*keys, F.struct(*cols).alias(name)) for name, df in sides.items())
     both = b.join(r, keys, "full_outer")
+    # Columns of their own: an expression inside a function of items would be worked out for each item.
     count = lambda side, f: F.coalesce(F.size(F.filter(F.col(f"{side}.claims"), f)), F.lit(0))
     own = lambda side: F.transform(F.coalesce(F.col(f"{side}.claims"), F.array().cast(CLAIMS)), lambda c: json_text(c, CLAIM))
+    both = both.withColumns({f"_{side}": own(side) for side in sides})
     has = {k: F.col(k).isNotNull() for k in sides}
     rules = {
         "only_baseline": ~has["r"],
@@ -150,8 +152,8 @@ def compared(baseline: DataFrame, revised: DataFrame, keys: list[str]) -> DataFr
         count("b", lambda c: exact_quotes(c, F.col("b.source"))).alias("baseline_exact"),
         count("r", lambda c: exact_quotes(c, F.col("r.source"))).alias("revised_exact"),
         count("r", lambda c: F.size(c["unresolved_context"]) > 0).alias("revised_unresolved"),
-        _surplus(own("b"), own("r")).alias("removed"),
-        _surplus(own("r"), own("b")).alias("added"),
+        _surplus(F.col("_b"), F.col("_r")).alias("removed"),
+        _surplus(F.col("_r"), F.col("_b")).alias("added"),
         F.array_compact(F.array(*(F.when(F.coalesce(broken, F.lit(False)), rule) for rule, broken in rules.items()))).alias("errors"),
     )
 
