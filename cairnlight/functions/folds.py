@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Texts that are unpacked at a time.
+SLICE = 64
 
 #: What parts blocks, and lines that alone make no paragraph.
 _BLANK = re.compile(r"\n[ \t]*(?=\n)")
@@ -33,6 +40,23 @@ def paragraphs_of(c: Column) -> Column:
     return cut(c)
 
 
+def paragraph_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, k, start, end) of the paragraphs of each text, k from 0. A few texts are unpacked at a time, and none comes back."""
+    kinds = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(x, T.IntegerType()) for x in ("k", "start", "end"))])
+    target = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SLICE):
+                part = batch.slice(first, SLICE)
+                rows = [(i, k, a, b) for i, x in enumerate(part.column(1).to_pylist()) for k, (a, b, _) in enumerate(paragraphs(x))]
+                at, *places = zip(*rows, strict=True) if rows else [()] * 4
+                own = part.column(0).take(pa.array(at, pa.int64())).cast(target.field(0).type)
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int32()) for x in places)], schema=target)
+
+    return df.select(key, text).mapInArrow(run, kinds)
+
+
 def batches(sizes: list[int], most_items: int, most_size: int) -> list[int]:
     """Batch number of each item: a new batch where the count or the size would be passed."""
     out, n, total, batch = [], 0, 0, 0

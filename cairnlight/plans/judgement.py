@@ -135,8 +135,7 @@ def wn10(spark, sf_dir):
 
 @query("SC21_paragraphs")
 def sc21(spark, sf_dir):
-    p = docs(spark, sf_dir).select("doc_id", F.posexplode(folds.paragraphs_of(F.col("text"))).alias("k", "p"))
-    return p.select("doc_id", "k", "p.start", "p.end")
+    return folds.paragraph_rows(docs(spark, sf_dir), "doc_id", "text")
 
 
 @query("SC18_SC19_quote_grounding", "SELECT page_id, CASE WHEN contains(html, '<article>') AND contains(html, '</nav>') THEN 'all' WHEN contains(html, '<article>') OR contains(html, '</nav>') THEN 'some' ELSE 'none' END AS status FROM pages")
