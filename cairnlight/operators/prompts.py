@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cairnlight.operators.validators import let
+
 #: Fixed values of the prompt layout.
 GROUP_TITLES = ("PDF Narrative Evidence", "PDF Table Row Evidence", "CSV Metric Evidence")
 RULE = "-" * 50
@@ -49,8 +51,9 @@ def parsed(prompt: Column, instruction: Column, cards: Column) -> Column:
     head = F.concat(F.lit("Instruction\n\n"), instruction, F.lit(DELIMITER))
     fits = F.coalesce(F.startswith(prompt, head), F.lit(False))
     section = F.when(fits, F.substr(prompt, F.length(head) + 1)).otherwise("")
-    blocks = F.transform(shown, lambda c: block(c["prompt_label"], c["source_label"], c["retrieval_text"]))
-    return _read(section, fits, shown, blocks, placed(section, blocks))
+    written = lambda cards: F.transform(cards, lambda c: block(c["prompt_label"], c["source_label"], c["retrieval_text"]))
+    read = lambda v, blocks: let(placed(v["section"], blocks), lambda found: _read(v["section"], v["fits"], v["shown"], blocks, found))
+    return let(F.struct(section.alias("section"), fits.alias("fits"), shown.alias("shown")), lambda v: let(written(v["shown"]), lambda blocks: read(v, blocks)))
 
 
 def cards_type() -> Column:
@@ -72,13 +75,19 @@ def _read(section: Column, fits: Column, shown: Column, blocks: Column, found: C
         F.arrays_zip(shown.alias("card"), blocks.alias("block"), found["steps"].alias("step")),
         lambda x: F.struct(x["card"].alias("card"), x["block"].alias("block"), x["step"]["start"].alias("start"), _title(x["step"]["gap"]).alias("title")),
     )
+    return let(rows, lambda r: let(_grouped(r), lambda kept: _judged(section, fits, shown, found, kept)))
+
+
+def _grouped(rows: Column) -> Column:
     groups = F.aggregate(
         rows,
         F.array().cast("array<string>"),
         lambda g, r: F.concat(g, F.array(F.when(F.length(r["title"]) > 0, r["title"]).otherwise(F.get(g, F.size(g) - 1)))),
     )
-    kept = F.transform(F.arrays_zip(rows.alias("r"), groups.alias("group")), lambda x: F.struct(x["r"]["card"].alias("card"), x["r"]["block"].alias("block"), x["r"]["start"].alias("start"), x["r"]["title"].alias("title"), x["group"].alias("group")))
+    return F.transform(F.arrays_zip(rows.alias("r"), groups.alias("group")), lambda x: F.struct(x["r"]["card"].alias("card"), x["r"]["block"].alias("block"), x["r"]["start"].alias("start"), x["r"]["title"].alias("title"), x["group"].alias("group")))
+
 
+def _judged(section: Column, fits: Column, shown: Column, found: Column, kept: Column) -> Column:
     def by_card(rule: str, broken) -> Column:  # noqa: ANN001
         return F.transform(F.filter(kept, broken), lambda k: F.concat(F.lit(f"{rule}: "), F.coalesce(k["card"]["prompt_label"], F.lit(""))))
 
