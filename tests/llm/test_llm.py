@@ -702,6 +702,71 @@ def test_op9_spread_seeds_and_repeats(spark):
         assert align.similarity_at_least(words[r.doc_id][r.start : r.end], words[r.other_id][r.other_start : r.other_end], 0.8) is not None
 
 
+@pytest.mark.parametrize("part", [20, 30])
+def test_op9_passage_in_parts_of_smaller_texts(spark, part):
+    """All seeds of a passage lead to smaller texts that have parts of it only; the texts with the whole are linked."""
+    rnd = random.Random(part)
+    new = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    p = new(60)
+    rows = [(i, " ".join(new(40) + p[k : k + part] + new(40))) for i, k in enumerate(range(0, 61 - part, 10))]
+    q = [new(1)[0] if k % 9 == 4 else w for k, w in enumerate(p)]
+    rows += [(10, " ".join(new(40) + p + new(40))), (11, " ".join(new(70) + p + new(10))), (12, " ".join(new(20) + q + new(30)))]
+    got = fuzzydup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {tuple(sorted(x)) for x in zip(got.doc_id, got.other_id, strict=True)} == {(10, 11), (10, 12), (11, 12)}
+
+
+def test_op9_no_pair_is_lost(spark):
+    """Variants of passages in texts with common lines: by all pairs, two with a common passage are linked or of one class."""
+    rnd = random.Random(9)
+    new = lambda n: [f"w{int(10**7 * rnd.random() ** 6)}" for _ in range(n)]
+    lines, bases, rows = [new(12) for _ in range(3)], [new(70) for _ in range(4)], []
+    for i in range(60):
+        p = list(rnd.choice(bases))[(lo := rnd.randrange(20)) : lo + rnd.randrange(30, 65)]
+        for k in rnd.sample(range(len(p)), rnd.randrange(6)):
+            p[k] = new(1)[0]
+        rows.append((i, " ".join(new(40) + rnd.choice(lines) + p + rnd.choice(lines) + new(40))))
+    got = fuzzydup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    root = {i: i for i, _ in rows}
+    for u, v in zip(got.doc_id, got.other_id, strict=True):
+        a, b = root[u], root[v]
+        root = {i: a if r == b else r for i, r in root.items()}
+    words = {i: t.encode().split() for i, t in rows}
+    pairs = [(i, j) for i in words for j in range(i)]
+    grams = {i: defaultdict(list) for i in words}
+    for i, w in words.items():
+        for k in range(len(w) - 3):
+            grams[i][tuple(w[k : k + 4])].append(k)
+    matches = {(i, j): [(x, y) for g in grams[i].keys() & grams[j].keys() for x in grams[i][g] for y in grams[j][g]] for i, j in pairs}
+    items = [(p, (words[p[0]], words[p[1]], c)) for p, m in matches.items() for c in fuzzydup.chains(m, 4) if len(c) > 1]
+    found = fuzzydup.passages([x for _, x in items])
+    wanted = {p for (p, _), f in zip(items, found, strict=True) if f}
+    assert len(wanted) > 100
+    assert not [(i, j) for i, j in wanted if root[i] != root[j]]
+
+
+def test_op9_filters_lose_nothing():
+    """Counts of seeds of no smaller rank, and the words about a seed, against plain loops."""
+    rnd = random.Random(7)
+    place = np.array(sorted(rnd.sample(range(2000), 300)))
+    rank = np.array([rnd.randrange(40) for _ in place], np.uint64)
+    counted = rank % 3 > 0
+    plain = [sum(bool(counted[j]) and j != i and abs(int(place[j] - place[i])) <= fuzzydup.REACH and rank[j] >= rank[i] for j in range(300)) for i in range(300)]
+    assert fuzzydup._crowd(place, rank, counted).tolist() == plain
+    words = np.array([[rnd.randrange(9) for _ in range(24)] for _ in range(40)], np.uint8)
+    x, y = (np.array(k) for k in zip(*[(i, j) for i in range(40) for j in range(i)], strict=True))
+
+    def lacks(i, j):
+        sides = ((words[i][:12], words[j][:12]), (words[i][12:], words[j][12:]))
+        lost = [[not w or w not in side_y for w in side_x] for side_x, side_y in sides]
+        return any(sum(lost[0][:m]) + sum(lost[1][:n]) <= (m + n + 4) * 0.4 + 1e-6 for m in range(13) for n in range(13) if m + n + 4 >= 18)
+
+    for got, i, j in zip(fuzzydup.hopeful_pairs(words, x, y, 18, 0.6), x, y, strict=True):
+        assert got == (lacks(i, j) and lacks(j, i))
+    h = np.array([[5, 7, 5, 5], [7, 5, 7, 7]], np.uint64)
+    a, b = fuzzydup.word_codes(h, h > 0).tolist()
+    assert a[0] == b[1] and a[1] == b[0] and len(set(a)) == 4 and len(set(b)) == 4 and not fuzzydup.word_codes(h, h > 9).any()
+
+
 def test_op9_packing_of_texts_and_seeds(spark):
     """Seeds of a chunk are those of its texts one by one, also with any white space and empty texts."""
     rnd = random.Random(4)
