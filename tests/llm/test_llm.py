@@ -767,6 +767,51 @@ def test_op9_filters_lose_nothing():
     assert a[0] == b[1] and a[1] == b[0] and len(set(a)) == 4 and len(set(b)) == 4 and not fuzzydup.word_codes(h, h > 9).any()
 
 
+def test_op9_lines_of_many_texts_make_no_pairs(spark):
+    """A line of 16 words in n texts: no seed of it can be in a passage, so none of n * n / 2 pairs is looked at."""
+    rnd = random.Random(12)
+    new = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    line = new(16)
+    texts = spark.createDataFrame([(i, " ".join(line + new(60))) for i in range(300)], "node long, text string")
+    linked = fuzzydup._dense(fuzzydup._linked(texts, 3), 50, 0.8)
+    assert fuzzydup._chains(linked).count() == 0
+    assert sum(len(fuzzydup._unpack_links([r.links])[0]) for r in linked.collect()) == 0
+
+
+def test_op9_dense_places():
+    """Places in a run of seeds that a passage can have, against plain loops over all runs."""
+    rnd = random.Random(13)
+    u = np.array([k for k in range(6) for _ in range(60)])
+    at = np.array([p for k in range(6) for p in rnd.sample(range((90, 130, 160, 180, 200, 400)[k]), 60)])
+    got = fuzzydup.dense(u, at, 50, 0.8)
+    for k in range(6):
+        own = sorted(at[u == k].tolist())
+        plain = set()
+        for i in range(60):
+            for j in range(i + 17, 60):
+                if j - i + 1 >= 0.4 * (own[j] - own[i] + 3) - 2 - 1e-9:
+                    plain |= set(own[i : j + 1])
+        assert {p for p, g in zip(at[u == k].tolist(), got[u == k].tolist(), strict=True) if g} == plain
+
+
+def test_op9_runs_of_words_of_other_lengths(spark):
+    """Runs of two words that begin at other places than in the other text, and 40 words with 10 changed ones beside them."""
+    rnd = random.Random(14)
+    new = lambda n: [f"w{rnd.randrange(10**7)}" for _ in range(n)]
+    p = new(40)
+    rows = [(0, " ".join(new(9) + ["De"] * 45 + ["y"] * 27 + new(9))), (1, " ".join(new(5) + ["De"] * 27 + ["y"] * 60 + new(5)))]
+    rows += [(2, " ".join(new(30) + p + new(30))), (3, " ".join(new(70) + p + new(70)))]
+    got = fuzzydup.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {tuple(sorted(x)) for x in zip(got.doc_id, got.other_id, strict=True)} == {(0, 1), (2, 3)}
+
+
+def test_op9_outward_far_band():
+    """Edits outward in a band of more than 36 diagonals: the cost of places beyond the ends does not wrap."""
+    a = [str(i).encode() for i in range(20)]
+    edits, taken = fuzzydup.outward([a], [a], 124, 24)
+    assert edits[0, :21].tolist() == [0] * 21 and taken[0, :21].tolist() == list(range(21))
+
+
 def test_op9_packing_of_texts_and_seeds(spark):
     """Seeds of a chunk are those of its texts one by one, also with any white space and empty texts."""
     rnd = random.Random(4)
