@@ -837,6 +837,57 @@ def test_op9_extension():
         assert (edits[0, len(a) + 1 :] == 900).all()
 
 
+def test_op9_blocks_by_keys():
+    """Sets of seeds are made for the blocks with known keys alone, and are those of plain loops."""
+    rnd = random.Random(15)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(90)]
+    texts = [" ".join(words[k : k + 60] + [f"x{k}y{j}" for j in range(30)]).encode() for k in range(0, 30, 3)]
+    h, node, at = fuzzydup.seeds(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), fuzzydup.SEED, True)
+    links, passed = fuzzydup.star(h, node, at), (np.empty(0, np.int64),) * 6
+    key, joined = fuzzydup.blocks(links, passed, 18)
+    every = fuzzydup.blocks(links, passed, 18, key)
+    some = fuzzydup.blocks(links, passed, 18, np.unique(key)[::2])
+    kept = np.isin(key, np.unique(key)[::2])
+    assert 0 < kept.sum() < len(key) == len(every[0]) and (joined == every[5]).all()
+    assert all((a[kept] == b).all() for a, b in zip(every, some, strict=True))
+    place = np.array(sorted(rnd.sample(range(2000), 200)))
+    rank = np.array([rnd.randrange(500) for _ in place], np.uint64)
+    of = np.array(rnd.sample(range(200), 50))
+    for i, bits in zip(of, fuzzydup._seed_sets(place, rank, of), strict=True):
+        plain = {int(rank[j]) % fuzzydup.BITS for j in range(200) if j != i and abs(place[j] - place[i]) <= fuzzydup.REACH and rank[j] >= rank[i]}
+        assert {b for b in range(fuzzydup.BITS) if int(bits[b // 64]) >> b % 64 & 1} == plain
+
+
+def test_op9_places_ahead():
+    """Few pairs with many places are aligned many at a time; known passages and places done are passed over."""
+    places = [[10 * k, 10 * k] for k in range(40)]
+    assert fuzzydup.ahead(places, (), {}, 64) == list(range(0, 40, 5))
+    assert fuzzydup.ahead(places, (), {}, 0) == [0]
+    assert fuzzydup.ahead(places, [(0, 300, 0, 300)], {30: []}, 64) == [31, 36]
+
+
+def test_op9_longest_extent():
+    """The longest extent that is similar enough, of these the one with fewest edits, against all extents."""
+    rnd = random.Random(16)
+    tried = 0
+    for _ in range(150):
+        a, b = ([rnd.choice("abcdefgh").encode() for _ in range(2 * 9)] for _ in range(2))
+        b = [x if rnd.random() < 0.6 else y for x, y in zip(a, b, strict=True)]
+        sides = [fuzzydup.outward([a[:9]], [b[:9]], 9, 4), fuzzydup.outward([a[9:]], [b[9:]], 9, 4)]
+        got = fuzzydup.extended(np.array([[3, 3, 0]]), *sides, 0.8, 12)[0].tolist()
+        plain = []
+        for x in range(10):
+            for y in range(10):
+                p, q, e = int(sides[0][1][0, x]), int(sides[1][1][0, y]), int(sides[0][0][0, x] + sides[1][0][0, y])
+                if min(3 + x + y, 3 + p + q) >= 12 and e <= max(3 + x + y, 3 + p + q) * 0.2 + 1e-9:
+                    plain.append((x + y + p + q, -e, [x, p, y, q, e]))
+        assert (got[0] >= 0) == bool(plain)
+        if plain:
+            tried += 1
+            assert got in [k[2] for k in plain]
+    assert tried > 10
+
+
 # 10
 
 
