@@ -5,6 +5,8 @@ A raising plan does its check in the pass that makes its rows: nothing is collec
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,23 +85,19 @@ def kernel_violations(ec: DataFrame, dc: DataFrame, support: DataFrame, diagnosi
 
     ``ec``: case_id, ec_id; ``dc``: case_id, dc_id; ``support``: case_id, dc_id, support_sets; ``diagnosis``: case_id,
     dc_id, label; ``candidates``: case_id, dc_id, candidate_ids. Records are of the case that holds them. Each table is
-    grouped by case once; what is compared meets in one row of the case, and no pair of records is made.
+    shuffled once, by case; what is compared meets in one row of the case, and no pair of records is made.
     """
-    sets = support.groupBy("case_id").agg(F.collect_list(F.struct("dc_id", "support_sets")).alias("support"))
-    parts = [
-        ec.groupBy("case_id").agg(F.collect_list("ec_id").alias("ecs")),
-        dc.groupBy("case_id").agg(F.collect_list("dc_id").alias("dcs")),
-        sets,
-        diagnosis.groupBy("case_id").agg(F.collect_list(F.struct("dc_id", "label")).alias("diagnoses")),
-    ]
+    tables = {
+        "ecs": ec.select("case_id", F.col("ec_id").alias("ecs")),
+        "dcs": dc.select("case_id", F.col("dc_id").alias("dcs")),
+        "support": support.select("case_id", F.struct("dc_id", "support_sets").alias("support")),
+        "diagnoses": diagnosis.select("case_id", F.struct("dc_id", "label").alias("diagnoses")),
+    }
     if candidates is not None:
-        parts.append(candidates.groupBy("case_id").agg(F.collect_list(F.struct("dc_id", "candidate_ids")).alias("candidates")))
-    case = parts[0]
-    for p in parts[1:]:
-        case = case.join(p, "case_id", "full_outer")
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
-    for name in [c for c in case.columns if c != "case_id"]:
-        case = case.withColumn(name, empty(F.col(name), case.schema[name].dataType))
+        tables["candidates"] = candidates.select("case_id", F.struct("dc_id", "candidate_ids").alias("candidates"))
+    # Full joins would shuffle the lists of all tables before them again, each time.
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables.values())
+    case = every.groupBy("case_id").agg(*(F.collect_list(name).alias(name) for name in tables))
     of = lambda c: c["dc_id"]
     repeats = lambda a: F.size(a) - F.size(F.array_distinct(a))
     count = lambda a, f: F.size(F.filter(a, f))

@@ -48,6 +48,17 @@ def test_kernel_tables_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     same_as_sql(spark, two, "AG4_kernel_violations")
 
 
+def test_kernel_violations_shuffle_lines_once(spark, tmp_path):
+    """One shuffle of the lines by case serves all tables, and the lists of a case are not shuffled again."""
+    lines = [line(k, n, 10 * k + n, n) for k in range(1, 35) for n in (1, 2)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.QUERIES["AG4_kernel_violations"](spark, written(tmp_path, lineitem=lines))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange hashpartitioning(") - plan.count("ReusedExchange") == 1
+
+
 def test_first_seen_with_parts_of_a_million(spark, tmp_path):
     lines = [line(1, 1, 1_100_000, 7), line(1, 2, 5_000, 8), line(1, 3, 1, 7), line(2, 1, 3, 9)]
     assert same_as_sql(spark, written(tmp_path, lineitem=lines), "SC34_first_seen") == [("8,7", 1), ("9", 2)]
